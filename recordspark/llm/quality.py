@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordspark.llm.common import written
@@ -23,15 +23,19 @@ STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_line
 MIN_WORDS = 50
 #: A host's shrunk failure rate above which a rule is held against its failing documents.
 HOST_RATE = 0.5
-#: Soft rules, over STATS.
+#: Soft rules, over a struct of STATS.
 RULES = {
-    "repeats": "100 * n_repeat_words > 20 * n_words",
-    "lines": "100 * n_dup_lines > 30 * n_lines",
-    "symbols": "100 * n_symbols > 10 * n_words",
-    "word_length": "word_chars < 2 * n_words or word_chars > 15 * n_words",
+    "repeats": lambda s: 100 * s["n_repeat_words"] > 20 * s["n_words"],
+    "lines": lambda s: 100 * s["n_dup_lines"] > 30 * s["n_lines"],
+    "symbols": lambda s: 100 * s["n_symbols"] > 10 * s["n_words"],
+    "word_length": lambda s: (s["word_chars"] < 2 * s["n_words"]) | (s["word_chars"] > 15 * s["n_words"]),
 }
 
 
+def base_failed(s: Column) -> Column:
+    return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+
+
 class _Numbers(dict):
     """word -> small number, in order of appearance"""
 
@@ -89,17 +93,10 @@ def measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_stats", stats("text"))
 
 
-def _rules() -> dict[str, F.Column]:
-    return {k: F.expr(rule) for k, rule in RULES.items()}
-
-
-BASE_FAILED = f"n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words"
-
-
 def host_verdicts(stats: DataFrame) -> DataFrame:
-    """A row for each source that fails a rule: _host, bad_<rule>. stats: source and the columns of STATS."""
-    # salted first, so that a host with a third of all rows is summed in parts
-    counts = written(stats.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.when(c, 1).otherwise(0)).alias(k) for k, c in _rules().items())), "hosts")
+    """A row for each source that fails a rule: _host, bad_<rule>. stats: source and _stats."""
+    # Spark sums within each task first, so a host with a third of all rows costs a row from each task
+    counts = written(stats.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.when(rule(F.col("_stats")), 1).otherwise(0)).alias(k) for k, rule in RULES.items())), "hosts")
     sums = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"), F.sum(F.col("n") * F.col("n")).alias("nn"), *(F.sum(k).alias(k) for k in RULES), *(F.sum(F.col(k) * F.col(k) / F.col("n")).alias(f"{k}_sq") for k in RULES)).first()
     bad = {}
     for k in RULES:
@@ -122,32 +119,30 @@ def beta_prior(n: int, hosts: int, squares: int, failures: int, weighted_squares
     return p * size, (1 - p) * size
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """docs with the columns of STATS, base_failed and kept. docs: text and source, besides any others."""
-    flat = lambda d: d.select("*", "_stats.*").drop("_stats")
-    verdicts = host_verdicts(flat(measured(docs.select("source", "text"))).drop("text"))
-    return with_verdicts(flat(measured(docs)), verdicts)
-
-
 def with_verdicts(stats: DataFrame, verdicts: DataFrame) -> DataFrame:
-    rules = _rules()
+    """stats (source, _stats and any others) with _base_failed and _kept."""
     held = F.lit(False)
-    for k, c in rules.items():
-        held = held | (F.coalesce(F.col(f"bad_{k}"), F.lit(False)) & c)
+    for k, rule in RULES.items():
+        held = held | (F.coalesce(F.col(f"bad_{k}"), F.lit(False)) & rule(F.col("_stats")))
+    # the verdicts are a written table: Spark broadcasts it if its size allows, else both sides are shuffled and split
     joined = stats.join(verdicts, stats["source"].eqNullSafe(verdicts["_host"]), "left")
-    out = joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("kept", ~F.col("base_failed") & ~held)
+    out = joined.withColumn("_base_failed", base_failed(F.col("_stats"))).withColumn("_kept", ~F.col("_base_failed") & ~held)
     return out.drop("_host", *(f"bad_{k}" for k in RULES))
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """docs with _stats, _base_failed and _kept. docs: text and source, besides any others."""
+    return with_verdicts(measured(docs), host_verdicts(measured(docs.select("source", "text"))))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    stats = written(measured(docs).select("doc_id", "source", "_stats.*"), "quality")
-    return with_verdicts(stats, host_verdicts(stats)).drop("source", "n_lines")
+    stats = written(measured(docs).drop("text"), "quality")
+    out = with_verdicts(stats, host_verdicts(stats))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return out.select("doc_id", *(F.col(f"_stats.{x}") for x in names), F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    flat = lambda d: d.select("_stats.*", *(c for c in d.columns if c != "_stats"))
-    verdicts = host_verdicts(flat(measured(docs.select("source", "text"))).drop("text"))
-    kept = with_verdicts(measured(docs).select("*", "_stats.*").drop("_stats"), verdicts).where("kept")
-    return kept.select(*docs.columns)
+    return judged(docs).where("_kept").select(*docs.columns)

@@ -40,7 +40,7 @@ def test_query_against_brute_force(spark, small, name):
 def test_bad_host(spark):
     good, bad = " ".join(f"word{i}" for i in range(80)), " ".join(f"#tag{i} $" for i in range(60))
     rows = [(i, good, "good") for i in range(300)] + [(1000 + i, bad if i < 55 else good, "bad") for i in range(60)] + [(2000, bad, "rare"), (2001, bad, "good")]
-    out = {r.doc_id: r.kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    out = {r.doc_id: r._kept for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert not any(out[1000 + i] for i in range(55))  # they fail the rule that their host fails
     assert all(out[1000 + i] for i in range(55, 60)) and all(out[i] for i in range(300))  # clean ones stay
     assert out[2001]  # one failure doesn't make a bad host
@@ -53,8 +53,7 @@ def test_prior_shrinks():
 
 
 def test_odd_documents(spark, odd_docs, no_docs):
-    docs = odd_docs.drop("n_words")
-    assert quality.judged(docs).count() == docs.count()
+    assert quality.judged(odd_docs).count() == odd_docs.count()
     assert set(quality.stage(spark, odd_docs, "").columns) == set(odd_docs.columns)
     assert quality.judged(no_docs).count() == 0 == mixing.mix(no_docs).count()
     assert mixing.mix(odd_docs, total=1000).count() > 100
