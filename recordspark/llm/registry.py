@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from recordspark.llm import mixing, packing, quality, token_files
+from recordspark.llm import chat, mixing, packing, quality, secrets, token_files
 
 
 def queries() -> dict:
     return {
+        "op2_secret_scan": secrets.query,
         "op3_token_files": token_files.query,
         "op5_host_quality": quality.query,
+        "op7_chat_windows": chat.query,
         "op8_poisson_mixing": mixing.query,
         "op9_balanced_packing": packing.query,
     }
