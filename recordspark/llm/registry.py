@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recordspark.llm import chat, mixing, packing, quality, secrets, token_files
+from recordspark.llm import chat, mixing, near_duplicates, packing, quality, secrets, token_files
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_secret_scan": secrets.query,
         "op3_token_files": token_files.query,
         "op5_host_quality": quality.query,
+        "op6_near_duplicates": near_duplicates.query,
         "op7_chat_windows": chat.query,
         "op8_poisson_mixing": mixing.query,
         "op9_balanced_packing": packing.query,
