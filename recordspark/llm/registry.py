@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from recordspark.llm import chat, mixing, near_duplicates, packing, quality, secrets, token_files
+from recordspark.llm import chat, embedding_links, mixing, near_duplicates, packing, quality, secrets, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_embedding_links": embedding_links.query,
         "op2_secret_scan": secrets.query,
         "op3_token_files": token_files.query,
         "op5_host_quality": quality.query,
