@@ -22,7 +22,7 @@ class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned integers of `width` bytes."""
 
     #: Words kept at once; beyond that the cache starts anew.
-    LIMIT = 500_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -60,26 +60,41 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         """A piece stands for itself (vocabularies with word ends), else for itself after a space, a newline (as written) or nothing (\\x00)."""
-        plan, letters, rest = [], {}, {}
+        plan, letters, rest, known = [], {}, {}, self.known
+        # most new pieces are mere letters
+        if self.word_ends:
+            plain = [x for x in pieces if x.isalpha() and x.islower() and not WIDE.search(x)]
+            known.update(zip(plain, self._ids(self.letters, plain), strict=True))
+        else:
+            plain = [x for x in pieces if x.isalpha()]
+            known.update(zip(plain, self._ids(self.letters, [" " + x for x in plain]), strict=True))
         for piece in pieces:
-            word, before = piece, ""
+            if piece in known:
+                continue
+            word, before, parts = piece, "", []
             if not self.word_ends:
-                mark = piece[:1]
-                word = piece[1:] if mark in ("\n", "\x00") else piece
-                before = "" if mark in ("\n", "\x00") else " "
+                if piece[:1] == "\n":
+                    word = piece[1:]
+                    parts.append((rest, "\n"))
+                elif piece[:1] == "\x00":
+                    word = piece[1:]
+                else:
+                    before = " "
             core = word.rstrip(".,")
             if core.isalpha() and not (self.word_ends and (WIDE.search(core) or core != core.lower())):
-                parts = [(letters, before + core)] + ([(rest, word[len(core) :])] if len(core) < len(word) else [])
-            else:
-                parts = [(rest, before + word)] if before + word else []
-            if piece[:1] == "\n" and not self.word_ends:
-                parts.insert(0, (rest, "\n"))
+                # the word without its comma may be known already
+                parts.append((known, core) if (before or self.word_ends) and core in known else (letters, before + core))
+                if len(core) < len(word):
+                    parts.append((rest, word[len(core) :]))
+            elif before + word:
+                parts.append((rest, before + word))
             for kind, part in parts:
-                kind.setdefault(part, None)
+                if kind is not known:
+                    kind[part] = None
             plan.append((piece, parts))
         for kind, by in ((letters, self.letters), (rest, self.full)):
             kind.update(zip(kind, self._ids(by, list(kind)), strict=True))
-        self.known.update((piece, b"".join([kind[part] for kind, part in parts])) for piece, parts in plan)
+        known.update([(piece, b"".join([kind[part] for kind, part in parts])) for piece, parts in plan])
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
