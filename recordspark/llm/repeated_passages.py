@@ -4,9 +4,9 @@ A byte goes if a string of `least` bytes that covers it also starts in a documen
 (a window) has an anchor: the least hash of the strings of ANCHOR bytes in it. What anchor a window has depends on the
 window alone, so all equal windows meet where their anchor's hash is dealt.
 
-1. Anchors are counted; those that only one document has are done with.
-2. Documents give, for each anchor left, the bytes that its windows cover. Equal stretches are one row with their least
-   doc_id, however many documents have them.
+1. Anchors meet by hash; those that only one document has are done with.
+2. Documents give, for each anchor left, the bytes that its windows cover. Equal stretches of a batch of documents are
+   one row with their least doc_id, however many documents have them.
 3. Shards of such stretches get a suffix array by induced sorting (suffix_arrays.py). Neighbours in it that share `least`
    bytes are equal windows; the least doc_id among them is the window's.
 4. Anchors with more stretches than a shard should hold are dealt over several shards; their windows' least doc_ids are
@@ -24,6 +24,8 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,7 +35,7 @@ from recordspark.llm.suffix_arrays import permuted_common, suffix_array
 
 LEAST, ANCHOR = 50, 24
 #: Bytes of stretches that a shard should hold, and stretches of an anchor beyond which it is dealt over shards.
-SHARD_BYTES, SHARD_STRETCHES = 1_500_000, 8_000
+SHARD_BYTES, SHARD_STRETCHES = 400_000, 3_000
 U = np.uint64
 
 
@@ -64,60 +66,121 @@ def anchors(text: bytes, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np
     return low[first], first, np.append(first[1:], len(low)) - 1
 
 
+@F.arrow_udf(T.BinaryType())
+def _packed(texts: pa.Array) -> pa.Array:
+    """Texts for a shuffle: compressed one by one."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.array([None if x is None else pack(x) for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, _t (the text's hash, which parts rows of equal doc_id), text, of rows that have a part in it."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("_t"), text.alias("text"))
+    """docs with doc_id as long and _t, which tells rows of equal doc_id with different texts apart (0 for all others)."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashes = own.select("doc_id", F.xxhash64("text").alias("x")).groupBy("doc_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    several = written(hashes.where("lo < hi and doc_id is not null").select(F.col("doc_id").alias("_several")), "several-texts")
+    rows = own.join(several, F.col("doc_id") == F.col("_several"), "left")
+    return rows.select("doc_id", F.when(F.col("_several").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("_t"), "text")
 
 
-def shared_anchors(docs: DataFrame, least: int) -> DataFrame:
-    """h: hashes of anchors that texts of several doc_ids have."""
+def sliced(batches, column: str, most: int = 4_000_000):
+    """The batches in slices of about `most` bytes in `column`."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
 
-    def run(batches):
-        for batch in batches:
-            hs, ds = [], []
-            for d, text in zip(batch.column("doc_id").to_numpy(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                own = np.unique(anchors(text, least)[0])
-                hs.append(own.view(np.int64))
-                ds.append(np.full(len(own), d))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs) if hs else [], pa.int64()), pa.array(np.concatenate(ds) if ds else [], pa.int64())], ["h", "d"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "h long, d long")
-    return found.groupBy("h").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("h")
+PLACES = "h long, doc_id long, _t long, first int, n int, several boolean"
 
 
 def anchor_places(docs: DataFrame, least: int) -> DataFrame:
-    """h, doc_id, _t, first, last: the runs of windows."""
+    """PLACES: runs of n windows from `first` on; `several`: the anchor is known to be in texts of several doc_ids."""
+    names = [x.split()[0] for x in PLACES.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
 
     def run(batches):
-        for batch in batches:
-            cols = [[] for _ in range(5)]
+        for batch in sliced(batches, "text"):
+            parts = []
             for d, t, text in zip(batch.column("doc_id").to_numpy(), batch.column("_t").to_numpy(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 h, first, last = anchors(text, least)
-                for c, x in zip(cols, (h.view(np.int64), np.full(len(h), d), np.full(len(h), t), first, last), strict=True):
-                    c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(cols, kinds, strict=True)], ["h", "doc_id", "_t", "first", "last"])
+                parts.append((h.view(np.int64), np.full(len(h), d), np.full(len(h), t), first, last - first + 1))
+            if not parts:
+                continue
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            order = np.argsort(cols[0], kind="stable")
+            cols = [x[order] for x in cols]
+            if len(order):
+                heads = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+                several = np.minimum.reduceat(cols[1], heads) < np.maximum.reduceat(cols[1], heads)
+                cols.append(np.repeat(several, np.diff(np.append(heads, len(order)))))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(cols, kinds, strict=True)), pa.array(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))], [*names, "head"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, _t long, first int, last int")
+    return docs.mapInArrow(run, PLACES + ", head boolean")
 
 
-def stretches(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """h, doc_id, _t, first, key, bytes: what the windows of each place cover. places: with h shared."""
-    runs = places.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("first", "last", "h")).alias("runs"))
+def shared_places(places: DataFrame) -> DataFrame:
+    """Those of anchor_places whose anchor is in texts of several doc_ids.
+
+    Places meet by anchor. A batch of documents that finds an anchor in several sends one of its places there and deals
+    the others out at random, so that a very frequent anchor is no burden to one task."""
 
     def run(batches):
+        held, known = None, None
         for batch in batches:
-            out = []
-            for d, t, text, runs in zip(batch.column("doc_id").to_pylist(), batch.column("_t").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("runs"), strict=True):
-                parts = [runs.values.field(i).to_numpy(zero_copy_only=False) for i in range(3)]
-                for first, last, h in zip(*(p.tolist() for p in parts), strict=True):
-                    own = text[first : last + least]
-                    out.append((h, d, t, first, hashlib.blake2b(own, digest_size=16).digest(), own))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["h", "doc_id", "_t", "first", "key", "bytes"])
+            table = pa.Table.from_batches([batch] if held is None else [held, batch])
+            h, d, several = (table.column(c).to_numpy() for c in ("h", "doc_id", "several"))
+            if not len(h):
+                continue
+            heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            shared = (np.minimum.reduceat(d, heads) < np.maximum.reduceat(d, heads)) | np.logical_or.reduceat(several, heads)
+            if known is not None and h[0] == known:
+                shared[0] = True
+            known = held = None
+            if shared[-1]:
+                known = h[-1]
+            else:
+                held = table.slice(heads[-1]).combine_chunks().to_batches()[0]
+            yield from table.filter(pa.array(np.repeat(shared, np.diff(np.append(heads, len(h)))))).to_batches()
+
+    at = F.when(F.col("several") & ~F.col("head"), F.xxhash64("h", "doc_id", "first")).otherwise(F.col("h"))
+    dealt = places.withColumn("_at", at).repartition("_at").drop("_at", "head").sortWithinPartitions("h")
+    return dealt.mapInArrow(run, PLACES).drop("several")
 
-    return docs.join(runs, ["doc_id", "_t"]).select("doc_id", "_t", "text", "runs").mapInArrow(run, "h long, doc_id long, _t long, first int, key binary, bytes binary")
+
+STRETCHES = "key binary, doc_id long, _t long, first int, n int, h long, lo long, hi long, bytes binary"
+
+
+def stretches(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
+    """STRETCHES: a row for each place (its key is a hash of the bytes that its windows cover), and for each batch of documents a row for each key (h, bytes; least and greatest doc_id)."""
+    runs = places.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("first", "n", "h")).alias("runs"))
+
+    def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in sliced(batches, "packed"):
+            out, seen = [], {}
+            for d, t, packed, runs in zip(batch.column("doc_id").to_pylist(), batch.column("_t").to_pylist(), batch.column("packed").to_pylist(), batch.column("runs"), strict=True):
+                text = unpack(packed)
+                for first, n, h in zip(*(runs.values.field(i).to_pylist() for i in range(3)), strict=True):
+                    own = text[first : first + n - 1 + least]
+                    if (known := seen.get(own)) is None:
+                        known = seen[own] = [hashlib.blake2b(own, digest_size=16).digest(), h, d, d]
+                    elif d < known[2]:
+                        known[2] = d
+                    elif d > known[3]:
+                        known[3] = d
+                    out.append((known[0], d, t, first, n))
+            nulls = [None] * len(out)
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            names = [x.split()[0] for x in STRETCHES.split(", ")]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds[:5])), *(pa.array(nulls, k) for k in kinds[5:])], names)
+            nulls = [None] * len(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen.values()], pa.binary()), *(pa.array(nulls, k) for k in kinds[1:5]), *(pa.array([x[i] for x in seen.values()], pa.int64()) for i in (1, 2, 3)), pa.array(list(seen), pa.binary())], names)
+
+    rows = docs.select("doc_id", "_t", _packed("text").alias("packed")).join(runs, ["doc_id", "_t"])
+    return rows.select("doc_id", "_t", "packed", "runs").mapInArrow(run, STRETCHES)
 
 
 def window_minima(texts: list[bytes], docs: np.ndarray, least: int) -> list[np.ndarray]:
@@ -142,61 +205,71 @@ def window_minima(texts: list[bytes], docs: np.ndarray, least: int) -> list[np.n
 
 def _shard(least: int, merged: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        texts = [bytes(x) for x in group["bytes"]]
-        minima = window_minima(texts, group["d"].to_numpy(), least)
+        # batches of documents may have sent a stretch each
+        group = group.groupby("key", sort=False).agg(lo=("lo", "min"), hi=("hi", "max"), bytes=("bytes", "first")).reset_index()
+        texts, keys = [bytes(x) for x in group["bytes"]], group["key"].tolist()
+        minima = window_minima(texts, group["lo"].to_numpy(), least)
         if not merged:
             # of use only where some document has a window that a smaller one has too
-            some = [i for i, (m, hi) in enumerate(zip(minima, group["hi"], strict=True)) if m.min() < hi]
-            return pd.DataFrame({"h": group["h"].to_numpy()[some], "key": [group["key"].iloc[i] for i in some], "minima": [minima[i].astype("<i8").tobytes() for i in some]})
-        rows = [(h, key, k, hashlib.blake2b(t[k : k + least], digest_size=16).digest(), m) for h, key, t, own in zip(group["h"], group["key"], texts, minima, strict=True) for k, m in enumerate(own.tolist())]
-        return pd.DataFrame(rows, columns=["h", "key", "at", "w", "m"])
+            some = [(k, packed_minima(m)) for k, m, hi in zip(keys, minima, group["hi"].tolist(), strict=True) if m.min() < hi]
+            return pd.DataFrame(some, columns=["key", "minima"])
+        rows = [(key, k, hashlib.blake2b(t[k : k + least], digest_size=16).digest(), m) for key, t, own in zip(keys, texts, minima, strict=True) for k, m in enumerate(own.tolist())]
+        return pd.DataFrame(rows, columns=["key", "at", "w", "m"])
 
     return run
 
 
+def packed_minima(m: np.ndarray) -> bytes:
+    """Little-endian 64-bit numbers; one, if all are equal."""
+    return (m[:1] if (m == m[0]).all() else m).astype("<i8").tobytes()
+
+
 def least_documents(found: DataFrame, least: int, shard_bytes: int, shard_stretches: int) -> DataFrame:
-    """h, key, minima (little-endian 64-bit doc_ids, one for each window) of the stretches of `found`."""
-    rows = found.groupBy("h", "key").agg(F.min("doc_id").alias("d"), F.max("doc_id").alias("hi"), F.first("bytes").alias("bytes"))
-    rows = written(rows, "stretches")
-    total, n = rows.agg(F.sum(F.length("bytes") + 1), F.count(F.lit(1))).first()
-    shards = max(1, -(-(total or 0) // shard_bytes))
-    many = written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_stretches).select("h", F.ceil(F.col("n") / shard_stretches).cast("int").alias("parts")), "frequent-anchors")
+    """key, minima (packed doc_ids, one for each window) of the stretches of `found`."""
+    rows = found.where("bytes is not null").select("key", "h", "lo", "hi", "bytes")
+    total = rows.agg(F.sum(F.length("bytes") + 1)).first()[0] or 0
+    shards = max(1, -(-total // shard_bytes))
+    many = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_stretches)
+    many = written(many.select("h", F.ceil(F.col("n") / shard_stretches).cast("int").alias("parts")), "frequent-anchors")
     plain = rows.join(many, "h", "left_anti").withColumn("shard", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(shards)))
-    out = plain.groupBy("shard").applyInPandas(_shard(least, False), "h long, key binary, minima binary")
+    out = plain.groupBy("shard").applyInPandas(_shard(least, False), "key binary, minima binary")
     if many.isEmpty():
         return out
     dealt = rows.join(many, "h").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
-    windows = written(dealt.groupBy("h", "part").applyInPandas(_shard(least, True), "h long, key binary, at int, w binary, m long"), "windows")
+    windows = written(dealt.groupBy("h", "part").applyInPandas(_shard(least, True), "key binary, at int, w binary, m long"), "windows")
     low = windows.groupBy("w").agg(F.min("m").alias("low"))
-    pairs = windows.join(low, "w").groupBy("h", "key").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("m"))
+    pairs = windows.join(low, "w").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("m"))
 
     def packed(batches):
         for batch in batches:
-            low = [np.array([x["low"] for x in m], "<i8").tobytes() for m in batch.column("m").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("key"), pa.array(low, pa.binary())], ["h", "key", "minima"])
+            low = [packed_minima(np.array([x["low"] for x in m])) for m in batch.column("m").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(low, pa.binary())], ["key", "minima"])
 
-    return out.unionByName(pairs.mapInArrow(packed, "h long, key binary, minima binary"))
+    return out.unionByName(pairs.mapInArrow(packed, "key binary, minima binary"))
 
 
-@F.pandas_udf(T.BinaryType())
-def _covered(first: pd.Series, doc: pd.Series, minima: pd.Series) -> pd.Series:
-    """Window starts (32-bit) of a stretch whose windows smaller documents have; null: none."""
+@F.arrow_udf(T.BinaryType())
+def _covered(first: pa.Array, n: pa.Array, doc: pa.Array, minima: pa.Array) -> pa.Array:
+    """Runs of window starts (32-bit: first, one beyond the last) of a place whose windows smaller documents have; null: none."""
     out = []
-    for a, d, m in zip(first, doc, minima, strict=True):
-        at = np.flatnonzero(np.frombuffer(m, "<i8") < d) + a
+    for a, k, d, m in zip(first.to_pylist(), n.to_pylist(), doc.to_pylist(), minima.to_pylist(), strict=True):
+        if len(m) == 8:
+            out.append(np.array([a, a + k], "<i4").tobytes() if int.from_bytes(m, "little", signed=True) < d else None)
+            continue
+        gone = np.concatenate([[False], np.frombuffer(m, "<i8") < d, [False]])
+        at = np.flatnonzero(gone[1:] != gone[:-1]) + a
         out.append(at.astype("<i4").tobytes() if len(at) else None)
-    return pd.Series(out, dtype=object)
+    return pa.array(out, pa.binary())
 
 
-def removals(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES, shard_stretches: int = SHARD_STRETCHES) -> DataFrame:
-    """doc_id, _t, windows (arrays of window starts) of the documents that lose something."""
-    known = _keyed(docs.where("doc_id is not null and length(text) > 0"))
-    shared = written(shared_anchors(known, least), "shared-anchors")
-    places = written(anchor_places(known, least).join(shared, "h"), "anchor-places")
-    found = written(stretches(known, places, least), "found-stretches")
+def removals(keyed: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES, shard_stretches: int = SHARD_STRETCHES) -> DataFrame:
+    """doc_id, _t, windows (arrays of runs of window starts) of the documents that lose something."""
+    known = keyed.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least))
+    places = written(shared_places(anchor_places(known, least)), "anchor-places")
+    found = written(stretches(known, places, least), "stretches")
     low = written(least_documents(found, least, shard_bytes, shard_stretches), "least-documents")
-    back = found.select("h", "key", "doc_id", "_t", "first").join(low, ["h", "key"])
-    marks = back.select("doc_id", "_t", _covered("first", "doc_id", "minima").alias("w")).where("w is not null")
+    back = found.where("bytes is null").select("key", "doc_id", "_t", "first", "n").join(low, "key")
+    marks = back.select("doc_id", "_t", _covered("first", "n", "doc_id", "minima").alias("w")).where("w is not null")
     return written(marks.groupBy("doc_id", "_t").agg(F.collect_list("w").alias("windows")), "removals")
 
 
@@ -204,9 +277,8 @@ def keep(text: bytes, windows: list[bytes] | None, least: int) -> tuple[bytes, i
     """What stays, how many bytes go, in how many runs."""
     if not windows:
         return text, 0, 0
-    at = np.frombuffer(b"".join(windows), "<i4")
-    n = len(text)
-    steps = np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(at + least, minlength=n + 1)[: n + 1]
+    at, n = np.frombuffer(b"".join(windows), "<i4").astype(np.int64), len(text)
+    steps = np.bincount(at[::2], minlength=n + 1) - np.bincount(at[1::2] + (least - 1), minlength=n + 1)
     gone = np.cumsum(steps)[:n] > 0
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
@@ -216,17 +288,19 @@ def without_repeats(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHAR
     """doc_id, kept (binary: what stays of the text), n_bytes, n_removed, n_spans for each row of docs (doc_id, text)."""
     if not 2 * ANCHOR - 8 <= least:
         raise ValueError(f"least must be {2 * ANCHOR - 8} or more")
-    gone = removals(docs, least, shard_bytes, shard_stretches)
-    rows = _keyed(docs).join(gone, ["doc_id", "_t"], "left")
+    keyed = _keyed(docs)
+    gone = removals(keyed, least, shard_bytes, shard_stretches)
+    rows = keyed.select("doc_id", "_t", _packed("text").alias("packed")).join(gone, ["doc_id", "_t"], "left")
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            texts = [unpack(x) if x else b"" for x in batch.column("packed").to_pylist()]
             kept = [keep(t, w, least) for t, w in zip(texts, batch.column("windows").to_pylist(), strict=True)]
             cols = [batch.column("doc_id"), pa.array([k[0] for k in kept], pa.binary()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [k[1] for k in kept], [k[2] for k in kept]))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return rows.select("doc_id", "text", "windows").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return rows.select("doc_id", "packed", "windows").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
