@@ -1 +1,5 @@
-"""sources of recordspark."""
+"""Readers and writers."""
+
+from recordspark.sources import formats
+
+__all__ = ["formats"]

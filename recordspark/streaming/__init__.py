@@ -1 +1,5 @@
-"""streaming of recordspark."""
+"""Structured Streaming."""
+
+from recordspark.streaming import windows
+
+__all__ = ["windows"]
