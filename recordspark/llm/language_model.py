@@ -9,7 +9,7 @@ unseen ones as one, add up to 1.
 
 Weights are trained on all training documents: each task runs through its documents in batches of gradient updates from
 the weights it is given, and the tasks' weights are averaged by their tokens; ROUNDS times. The weights have a fixed
-size (2 * BUCKETS * 16 numbers, 4 MB); so has the table of the MOST_KNOWN most frequent words that tasks are sent. Counts
+size (2 * BUCKETS * 16 numbers, 4 MB); the table of the most frequent words that tasks are sent has MOST_KNOWN at most. Counts
 of all other words stay in Spark and meet the documents by a join.
 
 Training documents are those whose crc32(doc_id as text) mod 10 isn't 0; a row without doc_id is one. Null and empty texts
@@ -57,20 +57,36 @@ def training(doc_id: str) -> Column:
 
 
 class Words(dict):
-    """word -> hash and cell in one number; a bounded cache"""
+    """word -> number; a bounded cache. codes: by number, hash and cell in one. logs: log10 of a word's smoothed count, nan if it isn't known."""
 
     LIMIT = 400_000
 
+    def __init__(self, known: dict[bytes, float] | None = None):
+        self.known = known or {}
+        self.codes, self.logs = np.zeros(self.LIMIT + 1, np.int64), np.zeros(self.LIMIT + 1)
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > self.LIMIT:
+        n = self[word] = len(self)
+        self.codes[n] = zlib.crc32(word) << 8 | cell(word)
+        self.logs[n] = self.known.get(word, math.nan)
+        return n
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers that hold until the next call of room()."""
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def room(self, n: int) -> None:
+        """Makes room for n words more."""
+        if len(self) + n > self.LIMIT:
             self.clear()
-        out = self[word] = zlib.crc32(word) << 8 | cell(word)
-        return out
+        if n > len(self.codes):
+            self.codes, self.logs = np.zeros(n + 1, np.int64), np.zeros(n + 1)
 
 
-def features(codes: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """For texts of coded words: buckets (a row for each token) and cells."""
-    flat = np.concatenate([np.array([0, 0, 0, *c], np.int64) for c in codes])
+def features(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For texts of coded words: buckets (a row for each feature) and cells."""
+    start = np.zeros(3, np.int64)
+    flat = np.concatenate([x for c in codes for x in (start, c)])
     keep = np.ones(len(flat), bool)
     at = np.cumsum([0, *[len(c) + 3 for c in codes[:-1]]])
     keep[at] = keep[at + 1] = keep[at + 2] = False
@@ -78,14 +94,14 @@ def features(codes: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     h = (flat >> 8).astype(np.uint64)
     one, two, three = h[i - 1], h[i - 2], h[i - 3]
     # what lies before a text's start is 0
-    mixed = np.stack([one, one * np.uint64(0x9E3779B97F4A7C15) ^ two, two + np.uint64(1 << 40), three + np.uint64(1 << 41)], 1)
+    mixed = np.stack([one, one * np.uint64(0x9E3779B97F4A7C15) ^ two, two + np.uint64(1 << 40), three + np.uint64(1 << 41)])
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (mixed >> np.uint64(64 - 15)).astype(np.int32) % BUCKETS, (flat[i] & 255).astype(np.int32)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+#: Logits stay within this, so that exp() needs no look at the largest of each row.
+STEEPEST = 40.0
+_ONES = np.ones(CLASSES, np.float32)
 
 
 class Model:
@@ -95,31 +111,33 @@ class Model:
         self.w = np.zeros((2, BUCKETS, CLASSES), np.float32) if weights is None else weights.copy()
         self.squares = np.full((2, BUCKETS), 1e-2, np.float32)
 
-    def probabilities(self, buckets: np.ndarray, cells: np.ndarray):
-        """For each softmax: buckets, wanted output, probabilities."""
+    def logits(self, buckets: np.ndarray, cells: np.ndarray):
+        """For each softmax: buckets (a row for each feature), wanted output, logits, exp(logits) and their sums."""
         classes = cells // SUBCLASSES
-        for level, (at, wanted) in enumerate(((buckets, classes), ((buckets * 31 + classes[:, None] * 2053 + 7) % BUCKETS, cells % SUBCLASSES))):
-            total = self.w[level][at[:, 0]]
+        for level, (at, wanted) in enumerate(((buckets, classes), ((buckets * 31 + classes * 2053 + 7) % BUCKETS, cells % SUBCLASSES))):
+            total = self.w[level].take(at[0], 0)
             for k in range(1, FEATURES):
-                total += self.w[level][at[:, k]]
-            yield at, wanted, _softmax(total)
+                total += self.w[level].take(at[k], 0)
+            np.clip(total, -STEEPEST, STEEPEST, out=total)
+            z = np.exp(total)
+            yield at, wanted, total, z, z @ _ONES
 
     def update(self, buckets: np.ndarray, cells: np.ndarray) -> None:
-        for level, (at, wanted, p) in enumerate(self.probabilities(buckets, cells)):
-            p[np.arange(len(p)), wanted] -= 1
-            flat = at.T.ravel()
-            order = np.argsort(flat.astype(np.uint16), kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
-            gradient = np.add.reduceat(p[order % len(p)], first, axis=0)
-            rows = flat[order[first]]
-            self.squares[level, rows] += (gradient * gradient).mean(1)
-            self.w[level, rows] -= RATE * gradient / np.sqrt(self.squares[level, rows])[:, None]
+        n = np.arange(len(cells))
+        for level, (at, wanted, _, p, sums) in enumerate(self.logits(buckets, cells)):
+            p /= sums[:, None]
+            p[n, wanted] -= 1
+            flat, gradient = at.ravel(), np.empty((BUCKETS, CLASSES), np.float32)
+            for c in range(CLASSES):
+                gradient[:, c] = np.bincount(flat, np.tile(p[:, c], FEATURES), BUCKETS)
+            self.squares[level] += (gradient * gradient) @ _ONES / CLASSES
+            self.w[level] -= RATE * gradient / np.sqrt(self.squares[level])[:, None]
 
     def scores(self, buckets: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """log10 P(class, subclass) of each token."""
-        out = np.zeros(len(cells))
-        for level, (_, wanted, p) in enumerate(self.probabilities(buckets, cells)):
-            chosen = np.log10(np.maximum(p[np.arange(len(p)), wanted], 1e-30))
+        n, out = np.arange(len(cells)), np.zeros(len(cells))
+        for level, (_, wanted, total, _, sums) in enumerate(self.logits(buckets, cells)):
+            chosen = (total[n, wanted] - np.log(sums)) / math.log(10)
             # the end's class has one subclass
             out += chosen if level == 0 else np.where(cells == 0, 0.0, chosen)
         return out
@@ -129,7 +147,9 @@ def _batches(texts, words: Words):
     """Codes of texts in groups of about BATCH tokens; a long text is cut."""
     held, n = [], 0
     for text in texts:
-        own = [words[w] for w in words_of(text)]
+        own = words_of(text)
+        words.room(len(own))
+        own = words.codes[words.numbers(own)]
         for k in range(0, len(own), BATCH):
             held.append(own[k : k + BATCH])
             n += len(held[-1])
@@ -155,7 +175,7 @@ def trained(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
                 for codes in _batches(batch.column("text").cast(pa.binary()).to_pylist(), words):
                     buckets, cells = features(codes)
                     for i in range(0, len(cells), BATCH):
-                        model.update(buckets[i : i + BATCH], cells[i : i + BATCH])
+                        model.update(buckets[:, i : i + BATCH], cells[i : i + BATCH])
                     n += len(cells)
             if n:
                 flat, task = model.w.reshape(-1, BLOCK), TaskContext.get().partitionId()
@@ -204,6 +224,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return sums.withColumn("cell", cells("word"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words (of counts) of the greatest counts, at most `most`: all that have more than some bound."""
+    octave = F.floor(F.log2("n") * 8).cast("int")
+    bins = counts.groupBy(octave.alias("bin")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("bin")).collect()  # some hundreds at most
+    total, least = 0, 1 << 30
+    for r in bins:
+        total += r.k
+        if total > most:
+            break
+        least = r.bin
+    return counts.where(octave >= least).select("word", "n")
+
+
 def scored(docs: DataFrame, rounds: int = ROUNDS, most_known: int = MOST_KNOWN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -216,31 +249,30 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, most_known: int = MOST_KNOWN)
     for r in sums:
         room[r.cell] = r.n + SMOOTHING * (r.v + (r.cell != 0))  # no end is unseen
     base_room = total + SMOOTHING * (distinct + 1)
-    # ties at the last place don't matter: a word is looked up here or there, with one count
-    known = {bytes(r.word): r.n for r in counts.orderBy(F.desc("n"), "word").limit(most_known).collect()}
+    known = {bytes(r.word): math.log10(r.n + SMOOTHING) for r in most_frequent(counts, most_known).collect()}
     weights = trained(learn, rounds)
     sent = spark.sparkContext.broadcast((weights, known))
     log_room, log_base = np.log10(room), math.log10(base_room)
 
     def run(batches):
         weights, known = sent.value
-        model, words = Model(weights), Words()
-        logs = {w: math.log10(n + SMOOTHING) for w, n in known.items()}
+        model, words = Model(weights), Words(known)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 own = words_of(text)
-                codes = [words[w] for w in own]
-                there = [logs.get(w) for w in own]
+                words.room(len(own))
+                numbers = words.numbers(own)
+                logs = words.logs[numbers]
+                missing = np.isnan(logs)
                 rare: dict[bytes, int] = {}
-                for w, x in zip(own, there, strict=True):
-                    if x is None:
-                        rare[w] = rare.get(w, 0) + 1
-                found = [x for x in there if x is not None]
-                out.append((doc, len(own), len(found), math.fsum(found), codes, rare))
+                for i in np.flatnonzero(missing).tolist():
+                    rare[own[i]] = rare.get(own[i], 0) + 1
+                found = logs[~missing]
+                out.append((doc, len(own), len(found), math.fsum(found.tolist()), words.codes[numbers], rare))
             for some in _parts(out):
                 buckets, cells = features([x[4] for x in some])
-                token = np.concatenate([model.scores(buckets[i : i + BATCH], cells[i : i + BATCH]) for i in range(0, len(cells), BATCH)]) - log_room[cells]
+                token = np.concatenate([model.scores(buckets[:, i : i + BATCH], cells[i : i + BATCH]) for i in range(0, len(cells), BATCH)]) - log_room[cells]
                 scores = np.add.reduceat(token, np.cumsum([0, *[x[1] for x in some[:-1]]]))
                 entries = [[{"word": w, "tf": k} for w, k in x[5].items()] for x in some]
                 yield pa.RecordBatch.from_arrays(

@@ -46,18 +46,33 @@ def test_words_beyond_the_table_are_looked_up(spark, odd_docs, no_docs):
     assert lm.scored(no_docs).collect() == []
 
 
+def coded(text):
+    words = lm.Words()
+    return words.codes[words.numbers(lm.words_of(text))]
+
+
 def test_probabilities_add_up():
     rng = np.random.default_rng(1)
     model = lm.Model(rng.normal(size=(2, lm.BUCKETS, lm.CLASSES)).astype(np.float32))
-    buckets, _ = lm.features([[lm.Words()[w] for w in (b"a", b"few", b"words", lm.END)]])
+    buckets, _ = lm.features([coded("a few words")])
     total = 0.0
     for c in range(lm.CLASSES * lm.SUBCLASSES):
         if c == 0 or c >= lm.SUBCLASSES:  # the end's class has one subclass
-            total = total + 10 ** model.scores(buckets, np.full(len(buckets), c, np.int32))
+            total = total + 10 ** model.scores(buckets, np.full(buckets.shape[1], c, np.int32))
     np.testing.assert_allclose(total, 1, rtol=1e-5)
 
 
 def test_features_do_not_cross_texts():
-    words = lm.Words()
-    a, b = [[words[w] for w in lm.words_of(t)] for t in ("one two three", "four")]
-    np.testing.assert_array_equal(lm.features([a, b])[0][len(a) :], lm.features([b])[0])
+    a, b = coded("one two three"), coded("four")
+    np.testing.assert_array_equal(lm.features([a, b])[0][:, len(a) :], lm.features([b])[0])
+
+
+def test_the_cache_starts_anew():
+    words = lm.Words({b"a": 1.0})
+    words.LIMIT = 4
+    for text in ("a b c", "d e f", "a " + " ".join(map(str, range(500_000)))):
+        own = lm.words_of(text)
+        words.room(len(own))
+        numbers = words.numbers(own)
+        assert [int(x) for x in words.codes[numbers][:3]] == [zlib.crc32(w) << 8 | lm.cell(w) for w in own[:3]]
+        assert (words.logs[numbers[0]] == 1.0) == (own[0] == b"a")
