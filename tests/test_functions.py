@@ -43,10 +43,10 @@ def test_arrays(spark, name, args, expected):
 def test_ranges_maps_and_gaps(spark):
     row = spark.sql("select array(named_struct('k','a','v',1), named_struct('k','b','v',2), named_struct('k','a','v',3)) r, array(null, 1, null) g, map('a', 1) m, map('a', 2, 'b', 3) n")
     out = row.select(
-        call("range", 5).alias("r"), call("range", 3, 0, -1).alias("down"), call("range", 0).alias("none"), call("pivot", F.col("r"), "k", "v").alias("p"), call("groupBy", F.col("r"), "k").alias("by"), call("fillMissing", F.col("g"), "forward").alias("f"),
-        call("fillMissing", F.col("g"), "backward").alias("b"), call("merge", F.col("m"), F.col("n")).alias("m"), call("sortBy", F.col("r"), "v").alias("s"), call("entries", F.col("m")).alias("e"),
+        call("range", 5).alias("up"), call("range", 3, 0, -1).alias("down"), call("range", 0).alias("none"), call("pivot", F.col("r"), "k", "v").alias("p"), call("groupBy", F.col("r"), "k").alias("by"), call("fillMissing", F.col("g"), "forward").alias("f"),
+        call("fillMissing", F.col("g"), "backward").alias("b"), call("merge", F.col("m"), F.col("n")).alias("mn"), call("sortBy", F.col("r"), "v").alias("s"), call("entries", F.col("m")).alias("e"),
     ).first()
-    assert (out.r, out.down, out.none, out.p, out.f, out.b, out.m) == ([0, 1, 2, 3, 4], [3, 2, 1], [], {"b": 2, "a": 3}, [None, 1, 1], [1, 1, None], {"a": 2, "b": 3})
+    assert (out.up, out.down, out.none, out.p, out.f, out.b, out.mn) == ([0, 1, 2, 3, 4], [3, 2, 1], [], {"b": 2, "a": 3}, [None, 1, 1], [1, 1, None], {"a": 2, "b": 3})
     assert [len(x) for x in out["by"].values()] == [2, 1] and [x.v for x in out.s] == [1, 2, 3] and out.e == [["a", "1"]]
 
 
