@@ -1,10 +1,11 @@
 """Operator 6: near duplicates by weighted minwise darts.
 
-A text is the set of its five-word shingles (all its words, if it has fewer); a shingle that comes c times has weight
-1 + ln c. Each shingle throws darts, hashed from the shingle alone, into its region of weight and rank; a dart that falls
-within the shingle's weight counts, at a coordinate that is hashed too. The earliest dart of each coordinate is the
-text's signature there: two texts agree at a coordinate as often as their weighted Jaccard similarity has it. Only so
-many darts are thrown as fill the coordinates, however long the text.
+A text is the set of its five-word shingles (all its words, if it has fewer), each of weight 1, however often it comes:
+that is the measure that links are decided by. Each shingle throws darts, hashed from the shingle alone, into its region
+of weight and rank; a dart that falls within the shingle's weight counts, at a coordinate that is hashed too. The
+earliest dart of each coordinate is the text's signature there: two texts agree at a coordinate as often as their
+Jaccard similarity has it (the weighted one, were there other weights). Only so many darts are thrown as fill the
+coordinates, however long the text.
 
 Bands of the signature give buckets. Texts of equal words are one class. Within buckets, texts are compared with the
 bucket's least text first, then each with the likeliest text of another component, then what is left, all pairs across
@@ -59,15 +60,15 @@ class WordHashes(dict):
         return h
 
 
-def shingles(words: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes, sorted, and how often each comes."""
+def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+    """Distinct shingle hashes, sorted."""
     ids = np.fromiter(map(hashes.__getitem__, words), U, len(words))
     n = max(1, len(ids) - SHINGLE + 1)
     width = min(SHINGLE, len(ids))
     out = np.full(n, width, U)
     for k in range(width):
         out = mix(out * U(31) + ids[k : k + n])
-    return np.unique(out, return_counts=True)
+    return np.unique(out)
 
 
 def signature(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES) -> np.ndarray:
@@ -126,8 +127,8 @@ def signed(docs: DataFrame) -> DataFrame:
                     all_bands.append(None)
                     sketches.append(None)
                     continue
-                elements, counts = shingles(words, hashes)
-                sig = signature(elements, 1 + np.log(counts))
+                elements = shingles(words, hashes)
+                sig = signature(elements, np.ones(len(elements)))
                 digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
                 all_bands.append(bands(sig).view(np.int64))
                 sketches.append((sig >> U(48)).astype("<u2").tobytes())
@@ -159,7 +160,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for a, g, doc, member, text in zip(*(batch.column(c).to_pylist() for c in ("a", "g", "doc", "member")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                own = shingles(text.split(), hashes)[0]
+                own = shingles(text.split(), hashes)
                 if not member:
                     key, head = (a, g), own
                 elif key == (a, g):

@@ -84,6 +84,18 @@ def test_groups_against_brute_force(spark):
     assert out == brute(rows)
 
 
+def test_passages_repeated_a_different_number_of_times(spark):
+    r, rows = random.Random(6), []
+    for times in (2, 3, 10, 40):
+        for _ in range(12):
+            base = [f"p{r.randrange(10**6)}" for _ in range(r.choice([100, 150]))]
+            block = base[:20]
+            rows += [" ".join(base), " ".join(base * times), edited(r, base, 1), " ".join(base + block * times), " ".join(block * times + base)]
+    rows = list(enumerate(rows))
+    out = {x.doc_id: x.component_id for x in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == brute(rows)
+
+
 def test_query(spark, small):
     rows = [tuple(x) for x in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     out = {x.doc_id: x.component_id for x in nd.query(spark, small).collect()}
