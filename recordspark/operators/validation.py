@@ -195,13 +195,14 @@ def unresolved(df: DataFrame, key: str, reference: str, targets: DataFrame, targ
     return rows.select(key, F.lit("V013").alias("code"), F.lit(reference).alias("path"), F.lit(CODES["V013"]).alias("message"))
 
 
-def circular(edges: DataFrame, source: str, target: str, depth: int = 100) -> DataFrame:
+def circular(edges: DataFrame, source: str, target: str) -> DataFrame:
     """V012: nodes on a cycle of references, each node having one target at most. Each round doubles the way gone."""
-    now = edges.select(F.col(source).alias("n"), F.col(target).alias("t")).where("t is not null")
-    steps = 1
-    # after as many doublings as depth asks for, whoever still has a target runs in a circle or into one
-    while steps < depth:
-        now = now.join(now.toDF("m", "t2"), F.col("t") == F.col("m")).select("n", F.col("t2").alias("t"))
-        steps *= 2
+    now = edges.select(F.col(source).alias("n"), F.col(target).alias("t")).where("t is not null").distinct()
+    # ends that a doubling doesn't lessen are mapped onto themselves: all of them are on cycles, chains and tails are gone
+    ends, before = now.select("t").distinct().count(), None
+    while ends != before:
+        before = ends
+        now = now.join(now.toDF("m", "t2"), F.col("t") == F.col("m")).select("n", F.col("t2").alias("t")).distinct().localCheckpoint()
+        ends = now.select("t").distinct().count()
     on = now.select(F.col("t").alias("node")).distinct()  # where endless ways end is on a cycle
     return on.select("node", F.lit("V012").alias("code"), F.lit(CODES["V012"]).alias("message"))
