@@ -1,6 +1,7 @@
 """Operator 2 [native]: secrets in texts, by patterns and by a battery of randomness tests.
 
-Patterns give base spans. Beside them, each run of 20 or more characters of a secret's alphabet is a candidate. Its
+Patterns give base spans. Beside them, each run of 20 or more characters of a secret's alphabet is a candidate. One
+that no encoding fits, such as a path with dashes, is split at slashes, then at dashes and underscores. The
 encoding is inferred from the characters it has; its characters' places in that alphabet are a sequence of numbers. The
 chi-squared statistic of its character counts is held against what words of natural language of that length would give:
 a small p-value says that the text is more even than language. The runs test about the alphabet's middle, the serial
@@ -104,13 +105,28 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def unmixed(m: Column) -> Column:
+    """m (start, end, match), or its parts of 20 characters or more if no encoding fits it: those between slashes, and
+    where these are still mixed or too short, those between dashes and underscores."""
+    mixed = lambda x: F.rlike(x["match"], F.lit("[+/]")) & F.rlike(x["match"], F.lit("[_-]"))
+
+    def parts(x: Column, pattern: str) -> Column:
+        return F.transform(matches(x["match"], pattern), lambda p: F.struct((x["start"] + p["start"]).alias("start"), (x["start"] + p["end"]).alias("end"), p["match"].alias("match")))
+
+    def finer(found: Column) -> Column:
+        own = F.flatten(F.transform(found, lambda x: F.when(mixed(x), parts(x, "[A-Za-z0-9+]{20,}")).otherwise(F.array(x))))
+        return F.when(F.size(found) > 0, own).otherwise(parts(m, "[A-Za-z0-9+/]{20,}"))
+
+    return F.when(mixed(m), let(parts(m, "[A-Za-z0-9+_-]{20,}"), finer)).otherwise(F.array(m))
+
+
 def candidates(text: Column) -> Column:
     """start, end, stratum, bin (of the p-value), random (the tests of randomness pass) of each candidate."""
-    found = F.filter(matches(text, CANDIDATE), lambda m: ~F.rlike(m["match"], F.lit(r"^(.)\1*$")))
+    found = F.filter(F.flatten(F.transform(matches(text, CANDIDATE), unmixed)), lambda m: ~F.rlike(m["match"], F.lit(r"^(.)\1*$")))
 
     def encoded(m: Column) -> Column:
         t = m["match"]
-        number = F.lit(-1)  # none fits: such as paths, with slash and dash
+        number = F.lit(-1)  # none fits
         for i, (pattern, _) in reversed(list(enumerate(ENCODINGS.values()))):
             number = F.when(F.rlike(t, F.lit(pattern)), i).otherwise(number)
         return F.struct(m["start"].alias("start"), m["end"].alias("end"), t.alias("t"), number.alias("e"))
