@@ -7,13 +7,16 @@ earliest dart of each coordinate is the text's signature there: two texts agree
 Jaccard similarity has it (the weighted one, were there other weights). Only so many darts are thrown as fill the
 coordinates, however long the text.
 
-Bands of the signature give buckets. Texts of equal words are one class. Within buckets, texts are compared with the
-bucket's least text first, then each with the likeliest text of another component, then what is left, all pairs across
-components whose signatures aren't far apart. A pair is linked if the Jaccard similarity of its shingle sets, counted on
-the whole texts, is 0.8 or more. So a large group of copies costs a comparison or two for each text.
-
-Null texts and texts without words are in no group. Rows of equal doc_id are one document; a row without doc_id is in no
-group and stays. Columns other than doc_id and text don't matter. An empty table gives no rows.
+Bands of the signature give buckets. Texts of equal words are one class. A class is compared with the least class of its
+buckets first. Where a bucket then still holds several groups, its residual classes (those outside its largest group)
+meet all its other classes in blocks: signatures tell which classes have a partner to be looked at, only those bring
+their texts, and a block gives the links that join its groups, never its pairs. A pair meets in the first band that it
+has in common. A pair is linked if the Jaccard similarity of its shingle sets, counted on the whole texts, is 0.8 or
+more; within a group that is joined already no pair needs a look.
+
+Null texts and texts without words are in no group. Rows of equal doc_id are one document for the query, whose texts may
+join groups; a row without doc_id is in no group there. The stage goes by rows: of equal rows and of rows without
+doc_id, too, one of each group stays. Columns other than doc_id and text don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,36 +25,38 @@ import hashlib
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordspark.llm.common import written
+from recordspark.llm.common import Steps, sliced, whole_row
 from recordspark.llm.components import components
 
 SHINGLE, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
-#: Signatures that agree at a lesser share are further apart than SIMILARITY, but for one pair in a million.
-FAR = 0.55
-BLOCK = 2048
+#: Of pairs of SIMILARITY, fewer than five in a million have signatures that agree at a lesser share (binomial tail).
+FAR = 0.6
+BLOCK = 1024
 U = np.uint64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finalizer (public constants of splitmix64)"""
     x = x + U(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    x ^= x >> U(30)
+    x *= U(0xBF58476D1CE4E5B9)
+    x ^= x >> U(27)
+    x *= U(0x94D049BB133111EB)
+    x ^= x >> U(31)
+    return x
 
 
 class WordHashes(dict):
     """word -> 64-bit hash, kept for words that come again"""
 
-    LIMIT = 500_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.LIMIT:
@@ -60,173 +65,316 @@ class WordHashes(dict):
         return h
 
 
-def shingles(words: list[bytes], hashes: WordHashes) -> np.ndarray:
-    """Distinct shingle hashes, sorted."""
-    ids = np.fromiter(map(hashes.__getitem__, words), U, len(words))
-    n = max(1, len(ids) - SHINGLE + 1)
-    width = min(SHINGLE, len(ids))
-    out = np.full(n, width, U)
-    for k in range(width):
-        out = mix(out * U(31) + ids[k : k + n])
-    return np.unique(out)
-
-
-def signature(elements: np.ndarray, weights: np.ndarray, k: int = COORDINATES) -> np.ndarray:
-    """The earliest dart at each of k coordinates."""
+def shingle_sets(texts: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts (their words): the distinct shingle hashes of each, sorted, one text after the other, and how many each has."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    ids = np.fromiter((hashes[w] for words in texts for w in words), U, int(sizes.sum()))
+    five = np.full(max(0, len(ids) - SHINGLE + 1), SHINGLE, U)
+    for k in range(SHINGLE):
+        five = mix(five * U(31) + ids[k : k + len(five)])
+    sets, start = [], 0
+    for n in sizes.tolist():
+        if n >= SHINGLE:
+            own = np.sort(five[start : start + n - SHINGLE + 1])
+        else:
+            own = np.full(min(n, 1), n, U)
+            for k in range(n):
+                own = mix(own * U(31) + ids[start + k])
+        if len(own) > 1:
+            own = own[np.concatenate([[True], own[1:] != own[:-1]])]
+        sets.append(own)
+        start += n
+    return np.concatenate(sets) if sets else np.empty(0, U), np.fromiter(map(len, sets), np.int64, len(sets))
+
+
+def signatures(elements: np.ndarray, weights: np.ndarray, sizes: np.ndarray, k: int = COORDINATES) -> np.ndarray:
+    """For texts of so many elements each (one at least): the earliest dart at each of k coordinates."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     strips = np.ceil(weights).astype(np.int64)
     element = np.repeat(np.arange(len(elements)), strips)
     strip = np.arange(len(element)) - np.repeat(np.cumsum(strips) - strips, strips)
-    room = np.minimum(1.0, weights[element] - strip)
     seeds = mix(elements[element] ^ mix(strip.astype(U)))
-    reach = k * (math.log(k) + 2) / float(weights.sum())
-    while True:
-        state, rank, room_now = seeds, np.zeros(len(seeds)), room
-        darts, ranks = [], []
+    room, owners = weights[element] - strip, owner[element]
+    out, left = np.zeros((len(sizes), k), U), np.arange(len(sizes))
+    reach = k * (math.log(k) + 2) / np.bincount(owner, weights, len(sizes))
+    while len(left):
+        state, own, ahead, rank = seeds, owners, room, np.zeros(len(seeds))
+        darts, ranks, at = [], [], []
         while len(state):
             # arrival times of a Poisson process along each strip's rank axis
             state = mix(state)
             rank = rank - np.log(((state >> U(11)).astype(np.float64) + 0.5) / (1 << 53))
-            near = rank <= reach
-            state, rank, room_now = state[near], rank[near], room_now[near]
+            near = rank <= reach[own]
+            state, rank, own, ahead = state[near], rank[near], own[near], ahead[near]
             dart = mix(state ^ U(0xD1B54A32D192ED03))
-            inside = (mix(dart) >> U(11)).astype(np.float64) / (1 << 53) < room_now
+            inside = (ahead >= 1) | ((mix(dart) >> U(11)).astype(np.float64) / (1 << 53) < ahead)
             darts.append(dart[inside])
             ranks.append(rank[inside])
-        dart, rank = np.concatenate(darts), np.concatenate(ranks)
-        at = (dart % U(k)).astype(np.int64)
-        order = np.argsort(-rank, kind="stable")
-        first = np.full(k, -1)
-        first[at[order]] = order  # the last written is the earliest
-        if (first >= 0).all():
-            return dart[first]
+            at.append(own[inside] * k + (dart[inside] % U(k)).astype(np.int64))
+        dart, rank, where = np.concatenate(darts), np.concatenate(ranks), np.concatenate(at)
+        first = np.full(len(sizes) * k, np.inf)
+        np.minimum.at(first, where, rank)
+        won = rank == first[where]
+        signs = np.zeros(len(first), U)
+        signs[where[won]] = dart[won]
+        full = np.isfinite(first).reshape(-1, k).all(1)
+        done = left[full[left]]
+        out[done] = signs.reshape(-1, k)[done]
+        # the others throw more darts
+        left = left[~full[left]]
         reach *= 2
+        again = np.isin(owners, left)
+        seeds, owners, room = seeds[again], owners[again], room[again]
+    return out
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    rows = sig.reshape(BANDS, ROWS)
-    out = np.arange(BANDS).astype(U)
+def bands(signs: np.ndarray) -> np.ndarray:
+    """Bucket numbers: a row for each text."""
+    rows = signs.reshape(len(signs), BANDS, ROWS)
+    out = np.tile(np.arange(BANDS).astype(U), (len(signs), 1))
     for i in range(ROWS):
-        out = mix(out * U(31) + rows[:, i])
+        out = mix(out * U(31) + rows[:, :, i])
     return out
 
 
-SIGNED = "doc_id long, digest binary, bands array<long>, sketch binary"
+def keyed(docs: DataFrame, steps: Steps) -> DataFrame:
+    """docs (doc_id, text, and any others) with node: doc_id, or where a doc_id has several texts or is null, a number of the text far below zero."""
+    texts = docs.select(F.col("doc_id").alias("_several"), F.xxhash64("text").alias("x")).where("_several is not null")
+    several = steps.write("several-texts", texts.groupBy("_several").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo < hi").select("_several"))
+    odd = F.lit(-(1 << 62)) - F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 61))
+    rows = docs.join(several, F.col("doc_id") == F.col("_several"), "left")
+    return rows.withColumn("node", F.when(F.col("doc_id").isNotNull() & F.col("_several").isNull(), F.col("doc_id")).otherwise(odd)).drop("_several")
+
 
+SIGNED = "doc_id long, node long, digest binary, bands array<long>, sketch binary"
 
-def signed(docs: DataFrame) -> DataFrame:
-    """SIGNED for each row; digest (of the words), bands and sketch are null where there are no words."""
+
+def signed(rows: DataFrame) -> DataFrame:
+    """SIGNED for each row of rows (doc_id, node, text) that has words; digest is the words'."""
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
-            digests, all_bands, sketches = [], [], []
-            for text in batch.column("text").cast(pa.binary()).to_pylist():
-                words = (text or b"").split()
-                if not words:
-                    digests.append(None)
-                    all_bands.append(None)
-                    sketches.append(None)
-                    continue
-                elements = shingles(words, hashes)
-                sig = signature(elements, np.ones(len(elements)))
-                digests.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
-                all_bands.append(bands(sig).view(np.int64))
-                sketches.append((sig >> U(48)).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(all_bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "digest", "bands", "sketch"])
+        for batch in sliced(batches, "text", 2_000_000):
+            texts = [(x or b"").split() for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            some = [i for i, words in enumerate(texts) if words]
+            if not some:
+                continue
+            texts = [texts[i] for i in some]
+            digests = [hashlib.blake2b(b" ".join(words), digest_size=16).digest() for words in texts]
+            elements, sizes = shingle_sets(texts, hashes)
+            signs = signatures(elements, np.ones(len(elements)), sizes)
+            sketch = (signs >> U(32)).astype("<u4")
+            buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bands(signs).view(np.int64).ravel()))
+            own = batch.take(pa.array(some))
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("node"), pa.array(digests, pa.binary()), buckets, pa.array([x.tobytes() for x in sketch], pa.binary())], ["doc_id", "node", "digest", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNED)
+    return rows.select("doc_id", "node", "text").mapInArrow(run, SIGNED)
 
 
-def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=1)
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, COORDINATES)
 
 
 @F.arrow_udf(T.DoubleType())
 def _likeness(a: pa.Array, b: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), "<u2").reshape(-1, COORDINATES) for v in (a, b))
-    return pa.array(_agreement(x, y), pa.float64())
+    return pa.array((_sketches(a) == _sketches(b)).mean(axis=1), pa.float64())
+
+
+def alike(common, a, b):
+    """Are sets of a and b elements, so many in common, similar?"""
+    return SIMILARITY[1] * common >= SIMILARITY[0] * (a + b - common)
 
 
 def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose shingle sets are similar. Texts stream past the text that they are compared with;
-    one that many are compared with is there in as many copies as keep its groups at BLOCK texts."""
+    """Those of pairs (a, b) whose shingle sets are similar. texts: node, text, a row for each node. Texts stream past the
+    text that they are compared with; one that many are compared with is there in as many copies as keep its groups at BLOCK texts."""
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("groups"))
-    heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.col("a").alias("doc"), F.lit(0).alias("member"))
-    members = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.col("b").alias("doc"), F.lit(1).alias("member"))
-    rows = heads.union(members).join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.col("a").alias("node"), F.lit(0).alias("member"))
+    members = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.col("b").alias("node"), F.lit(1).alias("member"))
+    rows = heads.union(members).join(texts, "node")
 
     def run(batches):
-        hashes, key, head = WordHashes(), None, None
-        for batch in batches:
-            found = []
-            for a, g, doc, member, text in zip(*(batch.column(c).to_pylist() for c in ("a", "g", "doc", "member")), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                own = shingles(text.split(), hashes)
+        hashes, key, head = WordHashes(), None, np.empty(0, U)
+        for batch in sliced(batches, "text", 2_000_000):
+            found, start = [], 0
+            flat, sizes = shingle_sets([x.split() for x in batch.column("text").cast(pa.binary()).to_pylist()], hashes)
+            for a, g, node, member, n in zip(*(batch.column(c).to_pylist() for c in ("a", "g", "node", "member")), sizes.tolist(), strict=True):
+                own = flat[start : start + n]
+                start += n
                 if not member:
-                    key, head = (a, g), own
+                    key, head = (a, g), own.copy()
                 elif key == (a, g):
-                    common = len(np.intersect1d(head, own, assume_unique=True))
-                    if SIMILARITY[1] * common >= SIMILARITY[0] * (len(head) + len(own) - common):
-                        found.append((a, doc))
+                    at = np.searchsorted(head, own)
+                    at[at == len(head)] = 0
+                    if alike(int((head[at] == own).sum()), len(head), n):
+                        found.append((a, node))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.repartition("a", "g").sortWithinPartitions("a", "g", "member").select("a", "g", "doc", "member", "text").mapInArrow(run, "a long, b long")
+    return rows.repartition("a", "g").sortWithinPartitions("a", "g", "member").select("a", "g", "node", "member", "text").mapInArrow(run, "a long, b long")
+
+
+def _grouped(batches, keys: tuple[str, ...]):
+    """Batches that are sorted by keys, as a table for each group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = np.stack([batch.column(k).to_numpy() for k in keys])
+        cuts = [0, *(np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(cols[:, i].tolist())
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def candidates(sketch: np.ndarray, label: np.ndarray, residual: np.ndarray, member: np.ndarray, node: np.ndarray, band: int):
+    """Pairs (row of a residual class, row of a member, share of agreement) of different groups that aren't far apart and
+    have no band in common before this one. A pair of residual classes is given once."""
+    res, mem = np.flatnonzero(residual), np.flatnonzero(member)
+    twin = np.isin(node[mem], node[res])
+    for s in range(0, len(res), step := max(1, (1 << 15) // max(1, len(mem)))):
+        i = res[s : s + step]
+        equal = sketch[i][:, None, :] == sketch[mem][None, :, :]
+        share = equal.mean(2)
+        fit = (share >= FAR) & (label[i][:, None] != label[mem][None]) & ~(twin[None] & (node[i][:, None] > node[mem][None]))
+        x, y = np.nonzero(fit)
+        if len(x):
+            first = equal[x, y].reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+            yield i[x[first]], mem[y[first]], share[x[first], y[first]]
+
+
+BLOCK_KEYS = ("band", "bucket", "g", "k")
+FLAGGED = "band int, bucket long, g int, k int, node long, label long, residual boolean, member boolean"
+
+
+def flagged(parts: DataFrame) -> DataFrame:
+    """FLAGGED: rows of a block that have a partner to be looked at. parts: FLAGGED and sketch."""
+    names = [x.split()[0] for x in FLAGGED.split(", ")]
+
+    def run(batches):
+        for t in _grouped(batches, BLOCK_KEYS):
+            sketch = _sketches(t.column("sketch"))
+            label, residual, member, node = (t.column(c).to_numpy() for c in ("label", "residual", "member", "node"))
+            rows = [np.concatenate([i, j]) for i, j, _ in candidates(sketch, label, residual, member, node, t.column("band")[0].as_py())]
+            if rows:
+                yield from t.take(pa.array(np.unique(np.concatenate(rows)))).select(names).to_batches()
+
+    return parts.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).mapInArrow(run, FLAGGED)
 
 
-def _across(best: bool):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        """Pairs across components: for each document the likeliest one, or all that aren't far."""
-        n, out = len(group), []
-        docs, comps = group["doc_id"].to_numpy(), group["component"].to_numpy()
-        sketch = np.frombuffer(b"".join(group["sketch"]), "<u2").reshape(n, -1)
-        for i in range(n):
-            share = np.where(comps == comps[i], 0.0, _agreement(sketch, sketch[i]))
-            js = [int(share.argmax())] if best else np.flatnonzero(share >= FAR).tolist()
-            out += [(min(docs[i], docs[j]), max(docs[i], docs[j])) for j in js if share[j] >= FAR]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+def joined_groups(parts: DataFrame) -> DataFrame:
+    """a, b: links that join the groups of a block as all its links do. parts: FLAGGED, sketch and text of flagged rows."""
 
-    return run
+    def run(batches):
+        hashes = WordHashes()
+        for t in _grouped(batches, BLOCK_KEYS):
+            label, residual, member, node = (t.column(c).to_numpy() for c in ("label", "residual", "member", "node"))
+            flat, sizes = shingle_sets([x.as_py().split() for x in t.column("text").cast(pa.binary())], hashes)
+            ends = np.cumsum(sizes)
+            number = np.unique(flat, return_inverse=True)[1]
+            sets = np.split(number, ends[:-1])
+            mark = np.zeros(int(number.max()) + 1, bool)
+            at = np.unique(label, return_inverse=True)[1].tolist()
+            above = list(range(len(at)))
+
+            def root(i, above=above):
+                while above[i] != i:
+                    above[i] = i = above[above[i]]
+                return i
+
+            found = []
+            for i, j, share in candidates(_sketches(t.column("sketch")), label, residual, member, node, t.column("band")[0].as_py()):
+                for x in np.unique(i).tolist():
+                    mine = i == x
+                    partners = j[mine][np.argsort(-share[mine], kind="stable")]
+                    mark[sets[x]] = True
+                    for s in range(0, len(partners), 64):
+                        some = [y for y in partners[s : s + 64].tolist() if root(at[y]) != root(at[x])]
+                        if not some:
+                            continue
+                        n = sizes[some]
+                        common = np.add.reduceat(mark[np.concatenate([sets[y] for y in some])], np.cumsum(n) - n)
+                        for y in np.array(some)[alike(common, n, sizes[x])].tolist():
+                            if (p := root(at[x])) != (q := root(at[y])):
+                                above[max(p, q)] = min(p, q)
+                                found.append((node[x], node[y]))
+                    mark[sets[x]] = False
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    names = [x.split()[0] for x in FLAGGED.split(", ")]
+    return parts.repartition(*BLOCK_KEYS).sortWithinPartitions(*BLOCK_KEYS).select(*names, "sketch", "text").mapInArrow(run, "a long, b long")
+
+
+def residual_blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """FLAGGED for the blocks of those buckets (rows: band, bucket, node) that hold several groups (labels: node, label)."""
+    labelled = rows.join(labels, "node", "left").select("band", "bucket", "node", F.coalesce("label", "node").alias("label"))
+    sizes = labelled.groupBy("band", "bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    opened = sizes.groupBy("band", "bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    opened = opened.select("band", "bucket", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("gs"))
+    own = labelled.join(opened, ["band", "bucket"]).withColumn("residual", F.col("label") != F.col("main"))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # a class is a member of one block of each g and, if it is residual, one of group g in each block
+    as_member = F.transform(each("gs"), lambda g: F.struct(g.alias("g"), deal("ks").alias("k"), F.lit(True).alias("member"), (F.col("residual") & (g == deal("gs"))).alias("residual")))
+    as_residual = F.transform(F.filter(each("ks"), lambda k: F.col("residual") & (k != deal("ks"))), lambda k: F.struct(deal("gs").alias("g"), k.alias("k"), F.lit(False).alias("member"), F.lit(True).alias("residual")))
+    return own.select("band", "bucket", "node", "label", F.explode(F.concat(as_member, as_residual)).alias("p")).select("band", "bucket", "p.g", "p.k", "node", "label", "p.residual", "p.member")
+
+
+def groups(docs: DataFrame, steps: Steps) -> DataFrame:
+    """doc_id, node, label for each distinct row of docs (doc_id, node, text) that has words: rows of equal label are near duplicates, directly or by others."""
+    signs = steps.write("signatures", signed(docs))
+    classes = steps.write("classes", signs.groupBy("digest").agg(F.min("node").alias("rep")))
+    members = steps.write("members", signs.select("doc_id", "node", "digest").join(classes, "digest").select("doc_id", "node", "rep").distinct())
+    reps = signs.join(classes, (signs["digest"] == classes["digest"]) & (signs["node"] == classes["rep"]), "left_semi").dropDuplicates(["node"])
+    reps = steps.write("representatives", reps.select("node", "bands", "sketch"))
+    steps.drop("signatures", "classes")
+    rows = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
+    buckets = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
+    rows = steps.write("buckets", rows.join(buckets, ["band", "bucket"]).select("band", "bucket", "node", "head"))
+    sketches = reps.select("node", "sketch")
+    likely = rows.where("node <> head").select("node", "head").distinct()
+    likely = likely.join(sketches, "node").join(sketches.toDF("head", "head_sketch"), "head").where(_likeness("sketch", "head_sketch") >= FAR)
+    pairs = steps.write("pairs", likely.groupBy("node").agg(F.min("head").alias("a")).select("a", F.col("node").alias("b")))
+    links = steps.write("links", similar(pairs, _texts(docs, pairs)))
+    # heads may be linked to heads: two jumps join most of what belongs together, and the end joins all
+    labels = links.select(F.col("b").alias("node"), F.col("a").alias("label"))
+    for _ in range(2):
+        labels = labels.join(labels.toDF("label", "further"), "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    labels = steps.write("labels", labels)
+    parts = residual_blocks(rows, labels).join(sketches, "node")
+    some = steps.write("flagged", flagged(parts))
+    steps.drop("buckets", "labels", "pairs")
+    wanted = some.select(F.col("node").alias("a")).distinct().select("a", F.col("a").alias("b"))
+    more = steps.write("more-links", joined_groups(some.join(sketches, "node").join(_texts(docs, wanted), "node")))
+    # the texts of one doc_id belong together
+    spread = members.where("doc_id <> node").groupBy("doc_id").agg(F.min("rep").alias("a"))
+    spread = members.where("doc_id <> node").join(spread, "doc_id").select("a", F.col("rep").alias("b"))
+    comps = components(links.union(more).union(spread))
+    out = members.join(comps, F.col("rep") == comps["node"], "left").select("doc_id", members["node"], F.coalesce("component", "rep").alias("label"))
+    return steps.write("groups", out)
+
+
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node, text of the nodes of pairs, a row for each."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return docs.select("node", "text").where("text is not null").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (the least doc_id of its group), kept (doc_id = component_id), a row for each doc_id that isn't null."""
-    known = docs.where(F.col("doc_id").isNotNull())
-    signs = written(signed(known), "signatures")
-    classes = written(signs.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    members = signs.select("doc_id", "digest").join(classes, "digest", "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
-    reps = signs.join(classes, (signs["digest"] == classes["digest"]) & (signs["doc_id"] == classes["rep"]), "left_semi").dropDuplicates(["doc_id", "digest"])
-    reps = written(reps.select("doc_id", "bands", "sketch"), "representatives")
-    rows = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("head")).where("n > 1")
-    rows = written(rows.join(buckets, "bucket"), "buckets")
-    ids = rows.select("doc_id").distinct()
-    texts = written(known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
-    sketches = reps.select("doc_id", "sketch")
-    likely = rows.where("doc_id <> head").select("doc_id", "head").distinct()
-    likely = likely.join(sketches, "doc_id").join(sketches.toDF("head", "head_sketch"), "head").where(_likeness("sketch", "head_sketch") >= FAR)
-    pairs = written(likely.groupBy("doc_id").agg(F.min("head").alias("a")).select("a", F.col("doc_id").alias("b")), "pairs")
-    links = written(similar(pairs, texts), "links")
-    tested = pairs
-    for best in (True, False):
-        comps = components(links)
-        labelled = rows.join(comps.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        opened = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        parts = labelled.join(opened, "bucket").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        parts = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        parts = parts.select("bucket", "doc_id", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).join(sketches, "doc_id")
-        more = parts.groupBy("bucket", "i", "j").applyInPandas(_across(best), "a long, b long").distinct()
-        more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        links = written(links.union(written(similar(more, texts), "links")), "links")
-        tested = tested.union(more)
-    comps = written(components(links), "components")
-    # copies of one text may bear several doc_ids, and rows of one doc_id several texts: both join groups
-    all_links = links.union(members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
-    if members.groupBy("doc_id").agg(F.countDistinct("rep").alias("n")).where("n > 1").isEmpty():
-        out = members.distinct().join(comps, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        whole = components(all_links)
-        out = members.select("doc_id").distinct().join(whole, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
+    steps = Steps(docs.sparkSession)
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    found = groups(keyed(known, steps), steps)
+    least = found.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    ids = found.join(least, "label").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = known.select("doc_id").distinct().join(ids, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
@@ -235,6 +383,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the least doc_id."""
-    gone = written(near_duplicates(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias("_gone")), "dropped")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One row of each group stays: one with the least doc_id, of several such rows any one. Rows without words stay."""
+    steps = Steps(spark)
+    rows = keyed(docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), "text"), steps)
+    found = groups(rows.select("doc_id", "node", "text"), steps)
+    best = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
+    gone = steps.write("dropped", found.join(best, "label").where("node <> best.node").select(F.col("node").alias("gone")).distinct())
+    left = rows.join(gone, F.col("node") == F.col("gone"), "left_anti")
+    again = rows.where(F.length("text") > 0).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("node").alias("copied"))
+    again = steps.write("copied", again.join(found, F.col("copied") == F.col("node"), "left_semi"))
+    once = left.join(again, F.col("node") == F.col("copied"), "left_semi").dropDuplicates(["node"])
+    return left.join(again, F.col("node") == F.col("copied"), "left_anti").unionByName(once).select("row.*")

@@ -55,7 +55,7 @@ def test_signatures_agree_as_often_as_weighted_jaccard_has_it(share):
         common, a, b = (nd.mix(r.integers(0, 1 << 62, n).astype(np.uint64)) for n in (int(400 * share), int(400 * (1 - share) / 2), int(400 * (1 - share) / 2)))
         weight = {int(x): w for x, w in zip(np.concatenate([common, a, b]), r.choice([1.0, 1.7, 3.2], len(common) + len(a) + len(b)))}
         x, y = np.concatenate([common, a]), np.concatenate([common, b])
-        sx, sy = (nd.signature(np.sort(v), np.array([weight[int(e)] for e in np.sort(v)])) for v in (x, y))
+        sx, sy = nd.signatures(np.concatenate([x, y]), np.array([weight[int(e)] for e in (*x, *y)]), np.array([len(x), len(y)]))
         agree.append((sx == sy).mean())
         c = sum(weight[int(e)] for e in common)
         sim.append(c / sum(weight.values()))
@@ -69,7 +69,9 @@ def edited(r, words, n):
     return " ".join(words)
 
 
-def test_groups_against_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 16])
+def test_groups_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(nd, "BLOCK", block)
     r, rows = random.Random(4), []
     for _ in range(60):
         base = [f"w{r.randrange(3000)}" for _ in range(r.choice([1, 3, 5, 8, 60, 200]))]
@@ -108,3 +110,16 @@ def test_odd(spark, odd_docs, no_docs):
     kept = nd.stage(spark, odd_docs, "")
     assert kept.columns == odd_docs.columns and sorted((x.doc_id or 0) for x in kept.collect()) == [0, 1, 2, 2, 5, 6, 7, 8, 9]
     assert nd.near_duplicates(no_docs).count() == 0
+
+
+def test_rows_of_one_doc_id_and_rows_without(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(7, a), (7, b), (3, a + " more"), (9, b), (9, b), (None, c), (None, c), (12, c + " more"), (None, "alone"), (None, None), (4, None)]
+    df = spark.createDataFrame([(*x, i, "k") for i, x in enumerate(rows)], "doc_id long, text string, node long, row string")
+    out = {x.doc_id: x.component_id for x in nd.near_duplicates(df).collect()}
+    assert out == {7: 3, 3: 3, 9: 3, 12: 12, 4: 4}
+    kept = nd.stage(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted((x.doc_id or 0, x.text or "") for x in kept.collect()) == [(0, ""), (0, "alone"), (3, a + " more"), (4, ""), (12, c + " more")]
+    same = spark.createDataFrame([(5, c, 1), (5, c, 2), (5, c, 3)], "doc_id long, text string, n long")
+    assert nd.stage(spark, same, "").count() == 1
