@@ -4,26 +4,32 @@ A source's rate is what its documents must be repeated on average for the source
 output. Each document's count is the Poisson quantile at a uniform number hashed from seed and doc_id: the same in any
 run, on any partitioning. The copies are dealt out anew by a hash and sorted by it within partitions.
 
-Rows of equal doc_id have equal counts. A null source is a source of its own; null doc_id and null text are allowed. An
-empty table gives no rows. Columns of the documents are kept, whatever their names, but for those that are added.
+Rows of equal doc_id have equal counts. Rows without doc_id go by their text, so that each text has a draw of its own.
+Rows of an equal hash are dealt out by the partition that they come from, too, so that no task gets them all. A null
+source is a source of its own; null text is allowed. An empty table gives no rows. Columns of the documents are kept,
+whatever their names, but for those that mix() adds (n_copies, copy, shuffle_key), which take the place of such columns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import written
+from recordspark.llm.common import whole_row, written
 
 SEED = "mix-1"
 #: Target share of a source: in proportion to its documents to this power.
 TEMPERATURE = 0.7
 
 
-def uniform(*parts: Column | str) -> Column:
+def own_key() -> Column:
+    """What a document's draw goes by: doc_id, or without one the text."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.col("text"))), F.lit("null"))
+
+
+def uniform(*parts: Column) -> Column:
     """A number in (0, 1) from 52 bits of an md5."""
-    text = F.concat_ws(":", *[F.coalesce(F.col(p).cast("string") if isinstance(p, str) else p.cast("string"), F.lit("null")) for p in parts])
-    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    return (F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None) -> DataFrame:
@@ -44,27 +50,26 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, total
     rate = F.col("_share") * F.lit(wanted / sums[0] if sums[0] else 0.0) / F.col("_n")
     rated = counts.select("_source", rate.alias("rate"))
     # terms beyond this hold less than 1e-15 of the mass
-    last = F.ceil(F.col("rate") + 9 * F.sqrt("rate") + 25).cast("int")
-    step = lambda s, k: F.struct(
-        (s["log_p"] + F.log(F.col("rate")) - F.log(k.cast("double"))).alias("log_p"),
-        (s["sum"] + F.exp(s["log_p"] + F.log(F.col("rate")) - F.log(k.cast("double")))).alias("sum"),
-        F.concat(s["cdf"], F.array(s["sum"])).alias("cdf"),
-    )
-    start = F.struct((-F.col("rate")).alias("log_p"), F.exp(-F.col("rate")).alias("sum"), F.array().cast("array<double>").alias("cdf"))
-    cdf = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["cdf"])
-    return written(rated.withColumn("cdf", F.when(F.col("rate") > 0, cdf).otherwise(F.array(F.lit(1.0)))), "rates")
+    last = F.when(F.col("rate") > 0, F.ceil(F.col("rate") + 9 * F.sqrt("rate") + 25)).otherwise(F.lit(0)).cast("int")
+    terms = rated.select("_source", "rate", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    till = Window.partitionBy("_source").orderBy("k")
+    logs = terms.withColumn("log_factorial", F.sum(F.log(F.greatest(F.col("k"), F.lit(1)).cast("double"))).over(till))
+    p = F.when(F.col("rate") > 0, F.exp(F.col("k") * F.log("rate") - F.col("rate") - F.col("log_factorial"))).otherwise(F.lit(1.0))
+    sums = logs.withColumn("p", p).withColumn("sum", F.sum("p").over(till))
+    return written(sums.groupBy("_source", "rate").agg(F.array_sort(F.collect_list("sum")).alias("cdf")), "rates")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: str = SEED) -> DataFrame:
     """docs with n_copies, copy (1, 2, ...) and shuffle_key, a row for each copy, in random order."""
-    rates = source_rates(docs, weights, total)
-    own = docs.drop("n_copies", "copy", "shuffle_key")
-    counted = own.join(rates, own["source"].eqNullSafe(rates["_source"]), "left").withColumn("_u", uniform(F.lit(seed), "doc_id"))
-    counted = counted.withColumn("n_copies", F.size(F.filter("cdf", lambda c: c < F.col("_u"))).cast("long")).where("n_copies > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    keyed = copies.drop("_u", "cdf", "rate", "_source").withColumn("shuffle_key", key)
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    rates = source_rates(docs.select("source"), weights, total)
+    rows = docs.select(whole_row(docs), "source", own_key().alias("own"))
+    drawn = rows.join(rates, rows["source"].eqNullSafe(rates["_source"]), "left").withColumn("u", uniform(F.lit(seed), F.col("own")))
+    counted = drawn.select("row", "own", F.spark_partition_id().alias("part"), F.size(F.filter("cdf", lambda c: c < F.col("u"))).cast("long").alias("n_copies")).where("n_copies > 0")
+    copies = counted.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n_copies")).alias("copy"))
+    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), "own", F.col("copy").cast("string"))))
+    added = ("n_copies", "copy", "shuffle_key")
+    own = [F.col("row.`" + c.replace("`", "``") + "`") for c in docs.columns if c not in added]
+    return keyed.repartition("shuffle_key", "part").sortWithinPartitions("shuffle_key").select(*own, *added)
 
 
 ORACLE = f"""
@@ -85,4 +90,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as their source's rate has it."""
-    return mix(docs).select(*docs.columns)
+    return mix(docs.select(whole_row(docs), "doc_id", "source", "text")).select("row.*")

@@ -4,10 +4,12 @@ Patterns give base spans. Beside them, each run of 20 or more characters of a se
 that no encoding fits, such as a path with dashes, is split at slashes, then at dashes and underscores. The
 encoding is inferred from the characters it has; its characters' places in that alphabet are a sequence of numbers. The
 chi-squared statistic of its character counts is held against what words of natural language of that length would give:
-a small p-value says that the text is more even than language. The runs test about the alphabet's middle, the serial
-correlation and chi-squared's upper tail must not speak against a uniform random sequence. Whether a p-value is small
-enough is settled over the whole table, by the Benjamini-Hochberg rule within strata of encoding and length: short
-candidates, of which there are many and whose p-values can't be small, don't spoil long ones and don't pass for them.
+a small p-value says that the text is more even than language. The runs test about the alphabet's middle and the serial
+correlation give a likelihood ratio each: of their deviate in a random sequence (standard normal) against that in
+language (SPREAD times as wide). A p-value over such ratios is one p-value for the whole battery. Besides, chi-squared
+must not be beyond what a uniform sequence would give. Whether a p-value is small enough is settled over the whole table,
+by the Benjamini-Hochberg rule within strata of encoding and length: short candidates, of which there are many and whose
+p-values can't be small, don't spoil long ones and don't pass for them.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans. Equal rows are scanned each. An empty
 table gives no rows. Only the columns named are read; others pass through redact() as they are, whatever their names.
@@ -20,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import written
+from recordspark.llm.common import whole_row, written
 
 #: kind -> (pattern, group whose length counts, least length); spans sort by start, then in this order.
 PATTERNS = {
@@ -48,8 +50,10 @@ ONE_CASE = ("hex", "letters", "base32")
 EQUAL2, EQUAL3 = 0.066, 0.0056
 #: Bounds of the length strata.
 BANDS = (32, 48, 80)
-#: Share of false discoveries, two-sided bound for the tests of randomness (normal deviates), p-values' bins a decade.
+#: Share of false discoveries, bound of chi-squared's deviate, p-values' bins a decade.
 Q, DEVIATES, PER_DECADE = 0.05, 3.3, 8
+#: Standard deviation of the runs' and serial correlation's deviates in language, and a bound that keeps exp() finite.
+SPREAD, STEEPEST = 3.0, 12.0
 
 
 def let(value: Column, use) -> Column:
@@ -58,13 +62,15 @@ def let(value: Column, use) -> Column:
 
 
 def prefix_sums(a: Column) -> Column:
-    """Sums of the elements before each; blocks of 64 keep long arrays from quadratic cost."""
+    """Sums of the elements before each. An element sums up its own block of 64, and each block the blocks of its own block: long arrays cost little more than in proportion."""
     total = lambda x: F.aggregate(x, F.lit(0), lambda s, y: s + y)
     block = lambda i: F.floor(i / 64).cast("int")
+    totals = lambda a: F.transform(F.sequence(F.lit(0), block(F.size(a))), lambda b: total(F.slice(a, b * 64 + 1, F.lit(64))))
+    in_block = lambda a, i: total(F.slice(a, block(i) * 64 + 1, i % 64))
 
     def sums(a: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), block(F.size(a))), lambda b: total(F.slice(a, b * 64 + 1, F.lit(64))))
-        return let(blocks, lambda own: F.transform(a, lambda x, i: total(F.slice(own, F.lit(1), block(i))) + total(F.slice(a, block(i) * 64 + 1, i % 64))))
+        before = lambda own: let(totals(own), lambda larger: F.transform(own, lambda x, i: total(F.slice(larger, F.lit(1), block(i))) + in_block(own, i)))
+        return let(let(totals(a), before), lambda own: F.transform(a, lambda x, i: F.get(own, block(i)) + in_block(a, i)))
 
     return let(a, sums)
 
@@ -121,7 +127,7 @@ def unmixed(m: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """start, end, stratum, bin (of the p-value), random (the tests of randomness pass) of each candidate."""
+    """start, end, stratum, bin (of the p-value), random (chi-squared is not beyond a uniform sequence) of each candidate."""
     found = F.filter(F.flatten(F.transform(matches(text, CANDIDATE), unmixed)), lambda m: ~F.rlike(m["match"], F.lit(r"^(.)\1*$")))
 
     def encoded(m: Column) -> Column:
@@ -159,7 +165,7 @@ def candidates(text: Column) -> Column:
         equal2 = F.when(m["e"] == 0, 0.1).otherwise(EQUAL2)
         expected = k + k * (n - 1) * equal2 - n
         deviation = k / n * F.sqrt(4 * n * (n - 1) * (n - 2) * (EQUAL3 - EQUAL2**2) + 2 * n * (n - 1) * (equal2 - equal2 * equal2))
-        p = upper_tail((expected - chi) / deviation)
+        even = upper_tail((expected - chi) / deviation)
         uneven = (chi - (k - 1)) / F.sqrt(2 * (k - 1))
         variance = m["vv"] - n * m["mean"] * m["mean"]
         serial = F.when(variance > 0, (m["xy"] - m["mean"] * m["s"] + (n - 1) * m["mean"] * m["mean"]) / variance * F.sqrt(n)).otherwise(F.lit(99.0))
@@ -167,11 +173,14 @@ def candidates(text: Column) -> Column:
         expected_runs = 2 * m["high"] * low / n + 1
         spread = (expected_runs - 1) * (expected_runs - 2) / (n - 1)
         turns = F.when(spread > 0, (m["runs"] - expected_runs) / F.sqrt(spread)).otherwise(F.lit(99.0))
+        # p over the likelihood ratios of both deviates
+        unlike = lambda z: F.exp(F.pow(F.least(F.abs(z), F.lit(STEEPEST)), F.lit(2.0)) / 2 * (1 - 1 / SPREAD**2)) / SPREAD
+        p = F.least(F.lit(1.0), even * unlike(serial) * unlike(turns))
         band = reduce(lambda x, y: x + y, [F.when(n >= b, 1).otherwise(0) for b in BANDS])
         return F.struct(
             m["start"].alias("start"), m["end"].alias("end"), (m["e"] * 10 + band).alias("stratum"),
             F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-50))) * PER_DECADE), F.lit(50 * PER_DECADE)).cast("int").alias("bin"),
-            ((uneven < DEVIATES) & (F.abs(serial) < DEVIATES) & (F.abs(turns) < DEVIATES)).alias("random"),
+            (uneven < DEVIATES).alias("random"),
         )
 
     out = found
@@ -223,17 +232,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with `mark` in the place of each secret of `text`; spans that overlap count as one."""
-    least = thresholds(scanned(docs.select("text")).select("_candidates"))
-    spans = all_spans(least)
+    scans = written(scanned(docs.select(whole_row(docs), "text")), "secrets")
+    spans = all_spans(thresholds(scans))
     # from the end on, so that positions hold; [start, end] of what is merged so far comes first
     merged = F.aggregate(
-        spans, F.array().cast("array<struct<start:int,end:int>>"),
+        "spans", F.array().cast("array<struct<start:int,end:int>>"),
         lambda done, s: F.when((F.size(done) > 0) & (F.get(done, F.lit(0))["end"] > s["start"]),
             F.concat(F.array(F.struct(F.get(done, F.lit(0))["start"].alias("start"), F.greatest(F.get(done, F.lit(0))["end"], s["end"]).alias("end"))), F.slice(done, F.lit(2), F.greatest(F.size(done) - 1, F.lit(0)))))
         .otherwise(F.concat(F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))), done)),
     )
-    clean = F.aggregate(merged, F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mark), F.substring(t, s["end"] + 1, F.lit(2147483647))))
-    return scanned(docs).withColumn("_spans", spans).withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text"))).select(*docs.columns)
+    clean = F.aggregate("merged", F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mark), F.substring(t, s["end"] + 1, F.lit(2147483647))))
+    own = scans.select("row", "text", spans.alias("spans")).withColumn("merged", merged)
+    text = F.when(F.size("merged") > 0, clean).otherwise(F.col("text")).alias("text")
+    return own.select(*(text if c == "text" else F.col("row.`" + c.replace("`", "``") + "`") for c in docs.columns))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
