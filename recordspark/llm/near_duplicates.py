@@ -315,10 +315,10 @@ def joined_groups(parts: DataFrame) -> DataFrame:
 def residual_blocks(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """FLAGGED for the blocks of those buckets (rows: band, bucket, node) that hold several groups (labels: node, label)."""
     labelled = rows.join(labels, "node", "left").select("band", "bucket", "node", F.coalesce("label", "node").alias("label"))
-    sizes = labelled.groupBy("band", "bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    opened = sizes.groupBy("band", "bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    opened = opened.select("band", "bucket", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("gs"))
-    own = labelled.join(opened, ["band", "bucket"]).withColumn("residual", F.col("label") != F.col("main"))
+    sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    opened = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    opened = opened.select("bucket", F.col("top.label").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("ks"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("gs"))
+    own = labelled.join(opened, "bucket").withColumn("residual", F.col("label") != F.col("main"))
     deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     # a class is a member of one block of each g and, if it is residual, one of group g in each block
@@ -332,17 +332,22 @@ def groups(docs: DataFrame, steps: Steps) -> DataFrame:
     signs = steps.write("signatures", signed(docs))
     classes = steps.write("classes", signs.groupBy("digest").agg(F.min("node").alias("rep")))
     members = steps.write("members", signs.select("doc_id", "node", "digest").join(classes, "digest").select("doc_id", "node", "rep").distinct())
-    reps = signs.join(classes, (signs["digest"] == classes["digest"]) & (signs["node"] == classes["rep"]), "left_semi").dropDuplicates(["node"])
+    # a node has one text, so its digest is given by it
+    reps = signs.join(classes.select(F.col("rep").alias("node")), "node", "left_semi").dropDuplicates(["node"])
     reps = steps.write("representatives", reps.select("node", "bands", "sketch"))
     steps.drop("signatures", "classes")
     rows = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
-    buckets = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1")
-    rows = steps.write("buckets", rows.join(buckets, ["band", "bucket"]).select("band", "bucket", "node", "head"))
-    sketches = reps.select("node", "sketch")
+    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("head")).where("n > 1").drop("n")
+    rows = steps.write("buckets", rows.join(buckets, "bucket").select("band", "bucket", "node", "head"))
+    # what shares no bucket is done with; ids and texts are dealt alike at any size
+    shared = rows.select("node").distinct().hint("merge")
+    sketches = steps.write("sketches", reps.select("node", "sketch").join(shared, "node", "left_semi"))
+    texts = steps.write("texts", docs.select("node", "text").where("text is not null").join(shared, "node", "left_semi").dropDuplicates(["node"]))
+    steps.drop("representatives")
     likely = rows.where("node <> head").select("node", "head").distinct()
     likely = likely.join(sketches, "node").join(sketches.toDF("head", "head_sketch"), "head").where(_likeness("sketch", "head_sketch") >= FAR)
     pairs = steps.write("pairs", likely.groupBy("node").agg(F.min("head").alias("a")).select("a", F.col("node").alias("b")))
-    links = steps.write("links", similar(pairs, _texts(docs, pairs)))
+    links = steps.write("links", similar(pairs, texts))
     # heads may be linked to heads: two jumps join most of what belongs together, and the end joins all
     labels = links.select(F.col("b").alias("node"), F.col("a").alias("label"))
     for _ in range(2):
@@ -351,8 +356,8 @@ def groups(docs: DataFrame, steps: Steps) -> DataFrame:
     parts = residual_blocks(rows, labels).join(sketches, "node")
     some = steps.write("flagged", flagged(parts))
     steps.drop("buckets", "labels", "pairs")
-    wanted = some.select(F.col("node").alias("a")).distinct().select("a", F.col("a").alias("b"))
-    more = steps.write("more-links", joined_groups(some.join(sketches, "node").join(_texts(docs, wanted), "node")))
+    more = steps.write("more-links", joined_groups(some.join(sketches, "node").join(texts, "node")))
+    steps.drop("flagged", "sketches", "texts")
     # the texts of one doc_id belong together
     spread = members.where("doc_id <> node").groupBy("doc_id").agg(F.min("rep").alias("a"))
     spread = members.where("doc_id <> node").join(spread, "doc_id").select("a", F.col("rep").alias("b"))
@@ -361,12 +366,6 @@ def groups(docs: DataFrame, steps: Steps) -> DataFrame:
     return steps.write("groups", out)
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, text of the nodes of pairs, a row for each."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return docs.select("node", "text").where("text is not null").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (the least doc_id of its group), kept (doc_id = component_id), a row for each doc_id that isn't null."""
     steps = Steps(docs.sparkSession)
