@@ -11,7 +11,6 @@ any size. Null and empty texts hold the end id alone. Equal rows are packed as r
 
 from __future__ import annotations
 
-import heapq
 import zlib
 
 import numpy as np
@@ -37,35 +36,27 @@ def pack(lengths: np.ndarray, capacity: int) -> list[tuple[int, int, int, int, i
             sequence += 1
     rests = lengths - full * capacity
     count = -(-int(rests.sum()) // capacity)
-    used, cost = [0] * count, [0.0] * count
+    used, cost = np.zeros(count, np.int64), np.zeros(count)
 
     def put(i: int, start: int, n: int, s: int) -> None:
-        out.append((i, start, n, sequence + s, used[s]))
+        out.append((i, start, n, sequence + s, int(used[s])))
         used[s] += n
         cost[s] += LINEAR * n + QUADRATIC * n * n
 
-    heap = [(0.0, s) for s in range(count)]
     for i in np.argsort(-rests, kind="stable").tolist():
         n, start = int(rests[i]), int(full[i]) * capacity
         if not n:
             break
-        passed = []
-        while heap and capacity - used[heap[0][1]] < n:
-            passed.append(heapq.heappop(heap))
-        if heap:
-            s = heapq.heappop(heap)[1]
+        fit = np.where(used <= capacity - n, cost, np.inf)
+        if np.isfinite(fit[s := int(fit.argmin())]):
             put(i, start, n, s)
-            passed += [(cost[s], s)] if used[s] < capacity else []
-        else:
-            for at, (_, s) in enumerate(passed):
-                take = min(n, capacity - used[s])
-                put(i, start, take, s)
-                start, n = start + take, n - take
-                if not n:
-                    break
-            passed = [(cost[s], s) for _, s in passed[: at + 1] if used[s] < capacity] + passed[at + 1 :]
-        for x in passed:
-            heapq.heappush(heap, x)
+            continue
+        for s in np.argsort(np.where(used < capacity, cost, np.inf), kind="stable").tolist():
+            take = min(n, capacity - int(used[s]))
+            put(i, start, take, s)
+            start, n = start + take, n - take
+            if not n:
+                break
     return out
 
 

@@ -12,6 +12,8 @@ import os
 import re
 from collections.abc import Sequence
 
+import numpy as np
+
 ODD_BLANK = re.compile(r"[\x00\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
 WIDE = re.compile(r"[^\x00-\xff]")
 #: Two blanks in a row, where a cut at a single blank would part a run.
@@ -22,21 +24,26 @@ class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned integers of `width` bytes."""
 
     #: Words kept at once; beyond that the cache starts anew.
-    LIMIT = 1_000_000
+    LIMIT = 750_000
+    #: New words that go to the library in one text.
+    TOGETHER = 1000
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.full, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.width = 2 if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.full = Tokenizer.from_file(path)
+        vocabulary = self.full.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         model = type(self.full.model).__name__
-        self.word_ends = model == "BPE" and bool(self.full.model.end_of_word_suffix)
+        ends = model == "BPE" and self.full.model.end_of_word_suffix
+        self.word_ends = bool(ends)
         self.cuts = model == "BPE" and (self.word_ends or type(self.full.pre_tokenizer).__name__ == "ByteLevel")
-        # a run of letters is one word: neither normalization nor splitting has anything to do there
-        self.letters.normalizer = normalizers.Sequence([])
-        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # where words begin (a byte-level token that opens with a space or newline), or end (a token with the suffix)
+        self.bounds = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.bounds[i] = token.endswith(ends) if ends else token[:1] in ("\u0120", "\u010a")
         self.known: dict[str, bytes] = {}
 
     def _ids(self, by, texts: Sequence[str]) -> list[bytes]:
@@ -58,43 +65,43 @@ class Encoder:
             out += words
         return out
 
+    def _together(self, words: list[str], before: str) -> None:
+        """Learns words that are one word each to the tokenizer, or begin one after `before` (a space or newline) and hold no blank: many in a text."""
+        groups = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
+        for group, raw in zip(groups, self._ids(self.full, [before + before.join(x.removeprefix("\n") for x in g) for g in groups]), strict=True):
+            at = np.flatnonzero(self.bounds[np.frombuffer(raw, f"<u{self.width}")])
+            if len(at) != len(group):  # not as expected: one by one
+                self.known.update(zip(group, self._ids(self.full, [before + x.removeprefix("\n") for x in group]), strict=True))
+                continue
+            cuts = (np.concatenate([[0], at + 1]) if self.word_ends else np.append(at, len(raw) // self.width)) * self.width
+            cuts = cuts.tolist()
+            self.known.update(zip(group, [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+
     def _learn(self, pieces: list[str]) -> None:
         """A piece stands for itself (vocabularies with word ends), else for itself after a space, a newline (as written) or nothing (\\x00)."""
-        plan, letters, rest, known = [], {}, {}, self.known
-        # most new pieces are mere letters
-        if self.word_ends:
-            plain = [x for x in pieces if x.isalpha() and x.islower() and not WIDE.search(x)]
-            known.update(zip(plain, self._ids(self.letters, plain), strict=True))
-        else:
-            plain = [x for x in pieces if x.isalpha()]
-            known.update(zip(plain, self._ids(self.letters, [" " + x for x in plain]), strict=True))
-        for piece in pieces:
-            if piece in known:
-                continue
-            word, before, parts = piece, "", []
-            if not self.word_ends:
-                if piece[:1] == "\n":
-                    word = piece[1:]
-                    parts.append((rest, "\n"))
-                elif piece[:1] == "\x00":
-                    word = piece[1:]
-                else:
-                    before = " "
-            core = word.rstrip(".,")
-            if core.isalpha() and not (self.word_ends and (WIDE.search(core) or core != core.lower())):
-                # the word without its comma may be known already
-                parts.append((known, core) if (before or self.word_ends) and core in known else (letters, before + core))
-                if len(core) < len(word):
-                    parts.append((rest, word[len(core) :]))
-            elif before + word:
-                parts.append((rest, before + word))
-            for kind, part in parts:
-                if kind is not known:
-                    kind[part] = None
-            plan.append((piece, parts))
-        for kind, by in ((letters, self.letters), (rest, self.full)):
-            kind.update(zip(kind, self._ids(by, list(kind)), strict=True))
-        known.update([(piece, b"".join([kind[part] for kind, part in parts])) for piece, parts in plan])
+        known = self.known
+        if not self.word_ends:
+            lines = [x for x in pieces if x[:1] == "\n" and len(x) > 1]
+            odd = [x for x in pieces if x[:1] == "\x00" or x == "\n" or not x]
+            self._together(lines, "\n")
+            known.update(zip(odd, self._ids(self.full, [x.removeprefix("\x00") if x else " " for x in odd]), strict=True))
+            skip = {*lines, *odd}
+            self._together([x for x in pieces if x not in skip], " ")
+            return
+        plain, closed, rest = {}, [], []
+        for x in pieces:
+            core = x.rstrip(".,")
+            if core.isalpha() and core.islower() and not WIDE.search(core):
+                if core not in known:
+                    plain[core] = None
+                if len(core) < len(x):
+                    closed.append((x, core, x[len(core) :]))
+            else:
+                rest.append(x)
+        rest += {end for _, _, end in closed if end not in known}
+        self._together(list(plain), " ")
+        known.update(zip(rest, self._ids(self.full, rest), strict=True))
+        known.update([(x, known[core] + known[end]) for x, core, end in closed])
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
