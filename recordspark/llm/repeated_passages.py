@@ -2,16 +2,20 @@
 
 A byte goes if a string of `least` bytes that covers it also starts in a document with a smaller doc_id. Each such string
 (a window) has an anchor: the least hash of the strings of ANCHOR bytes in it. What anchor a window has depends on the
-window alone, so all equal windows meet where their anchor's hash is dealt.
-
-1. Anchors meet by hash; those that only one document has are done with.
-2. Documents give, for each anchor left, the bytes that its windows cover. Equal stretches of a batch of documents are
-   one row with their least doc_id, however many documents have them.
-3. Shards of such stretches get a suffix array by induced sorting (suffix_arrays.py). Neighbours in it that share `least`
-   bytes are equal windows; the least doc_id among them is the window's.
-4. Anchors with more stretches than a shard should hold are dealt over several shards; their windows' least doc_ids are
-   merged by a further aggregation.
-5. Documents get their windows' least doc_ids back, and lose what windows of smaller doc_ids cover.
+window alone, so all equal windows have one anchor. A place is a run of windows of a document with one anchor; the bytes
+that they cover are its stretch.
+
+1. Documents are gathered in chunks of CHUNK bytes (one document, if it is longer), with which all goes on.
+2. Chunks send the distinct hashes of their anchors, five bytes each, to parts of the range of hashes, and learn which of
+   them another document may have too. (A hash's head may be another one's: such a place is just looked at.)
+3. The places of these anchors are told apart by hashes of their stretches. Equal stretches are one, with the least
+   doc_id that has it, summed up before and after the shuffle, however many documents there are.
+4. An anchor with a single stretch is settled: each of its windows has the stretch's least doc_id. The stretches of
+   other anchors come to shards, once each. A shard gets a suffix array by induced sorting and the permuted common
+   prefixes (suffix_arrays.py); neighbours in it that share `least` bytes are equal windows, and the least doc_id among
+   them is the window's. Anchors with more stretches than a shard should hold are dealt over several shards, whose
+   windows' least doc_ids are merged by a further aggregation.
+5. Places get their windows' least doc_ids back, and chunks lose what windows of smaller doc_ids cover.
 
 Texts are their UTF-8 bytes; null counts as empty. Rows of equal doc_id don't take from each other. A row without doc_id
 neither loses nor takes anything. Equal rows stay rows of their own. Extra columns are ignored. An empty table gives no rows.
@@ -26,16 +30,22 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from recordspark.llm.common import written
+from recordspark.llm.common import Steps, sliced
 from recordspark.llm.suffix_arrays import permuted_common, suffix_array
 
 LEAST, ANCHOR = 50, 24
+#: Bytes of text in a chunk, and for each part of the range of hashes.
+CHUNK, PART = 2_000_000, 8_000_000
 #: Bytes of stretches that a shard should hold, and stretches of an anchor beyond which it is dealt over shards.
 SHARD_BYTES, SHARD_STRETCHES = 400_000, 3_000
+#: Windows of a place at most: a longer run is several places.
+RUN = 32
+#: Bits of a hash that are compared within a part.
+BITS = 39
 U = np.uint64
 
 
@@ -45,142 +55,197 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def anchors(text: bytes, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts that share an anchor: the anchor's hash, first window, last window."""
-    a = np.frombuffer(text, np.uint8)
-    n = len(a)
-    if n < least:
-        return np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
-    words = np.zeros(n - 7, U)
+def anchors(a: np.ndarray, ends: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of texts that lie one after the other in a: the anchor's hash, the first window, the number of windows."""
+    none = np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(a) < least:
+        return none
+    words = np.zeros(len(a) - 7, U)
     for i in range(8):
-        words |= a[i : n - 7 + i].astype(U) << U(8 * i)
-    m = n - ANCHOR + 1
-    hashes = _mix(_mix(_mix(words[:m]) ^ words[8 : 8 + m]) * U(0x9E3779B97F4A7C15) ^ words[16 : 16 + m])
-    width, size, low = least - ANCHOR + 1, 1, hashes
+        words |= a[i : len(a) - 7 + i].astype(U) << U(8 * i)
+    m = len(a) - ANCHOR + 1
+    low = _mix(_mix(_mix(words[:m]) ^ words[8 : 8 + m]) * U(0x9E3779B97F4A7C15) ^ words[16 : 16 + m])
+    del words
+    width, size = least - ANCHOR + 1, 1
     while size * 2 <= width:
         low = np.minimum(low[:-size], low[size:])
         size *= 2
     if width > size:
         low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
+    k = len(low)
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    return low[first], first, np.append(first[1:], len(low)) - 1
+    first = np.union1d(first, ends[ends < k])  # a text's first window opens a place
+    last = ends[np.searchsorted(ends, first, "right")] - least + 1
+    stop = np.minimum(np.append(first[1:], k), last)
+    some = stop > first
+    first, stop = first[some], stop[some]
+    pieces = -(-(stop - first) // RUN)
+    at = np.repeat(first, pieces) + RUN * (np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    return low[at], at, np.minimum(RUN, np.repeat(stop, pieces) - at)
+
+
+def stretch_keys(a: np.ndarray, at: np.ndarray, n: np.ndarray, least: int) -> np.ndarray:
+    """A hash of the bytes that each place covers."""
+    width = -(-(RUN - 1 + least) // 8) * 8
+    padded, out, column = np.concatenate([a, np.zeros(width, np.uint8)]), np.empty(len(at), U), np.arange(width)
+    for s in range(0, len(at), 1 << 16):
+        here, size = at[s : s + (1 << 16)], n[s : s + (1 << 16)] - 1 + least
+        rows = padded[here[:, None] + column]
+        rows[column >= size[:, None]] = 0
+        words, h = rows.view(U), size.astype(U)
+        for i in range(width // 8):
+            h = _mix(h * U(0x9E3779B97F4A7C15) ^ words[:, i])
+        out[s : s + len(here)] = h
+    return out
+
+
+CHUNKS = "chunk long, docs binary, ends binary, text binary"
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """CHUNKS: doc_ids and known (1, or 0 for null) of the documents, where their texts end, and the texts, compressed."""
+
+    def run(batches):
+        pack, number = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 32
+        for batch in sliced(batches, "text", CHUNK):
+            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            ids = batch.column("doc_id")
+            docs = np.stack([pc.fill_null(ids, 0).to_numpy(), pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.int64)])
+            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([number], pa.int64()), "docs": pa.array([docs.tobytes()], pa.binary()), "ends": pa.array([ends.tobytes()], pa.binary()), "text": pa.array([pack(b"".join(texts))], pa.binary())})
+            number += 1
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CHUNKS)
 
-@F.arrow_udf(T.BinaryType())
-def _packed(texts: pa.Array) -> pa.Array:
-    """Texts for a shuffle: compressed one by one."""
-    pack = zstandard.ZstdCompressor(level=1).compress
-    return pa.array([None if x is None else pack(x) for x in texts.cast(pa.binary()).to_pylist()], pa.binary())
 
+class Chunk:
+    """A chunk with its texts unpacked."""
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with doc_id as long and _t, which tells rows of equal doc_id with different texts apart (0 for all others)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hashes = own.select("doc_id", F.xxhash64("text").alias("x")).groupBy("doc_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    several = written(hashes.where("lo < hi and doc_id is not null").select(F.col("doc_id").alias("_several")), "several-texts")
-    rows = own.join(several, F.col("doc_id") == F.col("_several"), "left")
-    return rows.select("doc_id", F.when(F.col("_several").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("_t"), "text")
+    def __init__(self, row: dict):
+        self.number = row["chunk"]
+        self.docs, self.known = np.frombuffer(row["docs"], np.int64).reshape(2, -1)
+        self.ends = np.frombuffer(row["ends"], np.int64)
+        # an empty frame holds no size
+        self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]) if self.ends[-1] else b"", np.uint8)
 
+    def places(self, least: int):
+        """Hash, first window, number of windows and doc_id of each place of the documents that have a doc_id, sorted by hash."""
+        h, at, n = anchors(self.text, self.ends, least)
+        owner = np.searchsorted(self.ends, at, "right")
+        order = np.argsort(h, kind="stable")
+        order = order[self.known[owner[order]] == 1]
+        return h[order], at[order], n[order], self.docs[owner[order]]
 
-def sliced(batches, column: str, most: int = 4_000_000):
-    """The batches in slices of about `most` bytes in `column`."""
-    for batch in batches:
-        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-        start = 0
-        while start < batch.num_rows:
-            end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
-            yield batch.slice(start, end - start)
-            start = end
 
+def _heads(h: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
 
-PLACES = "h long, doc_id long, _t long, first int, n int, several boolean"
 
+def _sent(h: np.ndarray, doc: np.ndarray, log_parts: int):
+    """Of sorted hashes: the part and value (BITS of the hash, and whether several doc_ids have it) of each distinct one, and its places' number."""
+    heads = _heads(h)
+    several = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
+    own = h[heads]
+    value = (own >> U(64 - log_parts - BITS) & U((1 << BITS) - 1)) << U(1) | several.astype(U)
+    return (own >> U(64 - log_parts)).astype(np.int64), value, np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(h))))
 
-def anchor_places(docs: DataFrame, least: int) -> DataFrame:
-    """PLACES: runs of n windows from `first` on; `several`: the anchor is known to be in texts of several doc_ids."""
-    names = [x.split()[0] for x in PLACES.split(", ")]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+
+def asked(parts: DataFrame, log_parts: int, least: int) -> DataFrame:
+    """part, chunk, values (five bytes each) of the chunks' anchors."""
 
     def run(batches):
-        for batch in sliced(batches, "text"):
-            parts = []
-            for d, t, text in zip(batch.column("doc_id").to_numpy(), batch.column("_t").to_numpy(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                h, first, last = anchors(text, least)
-                parts.append((h.view(np.int64), np.full(len(h), d), np.full(len(h), t), first, last - first + 1))
-            if not parts:
-                continue
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            order = np.argsort(cols[0], kind="stable")
-            cols = [x[order] for x in cols]
-            if len(order):
-                heads = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
-                several = np.minimum.reduceat(cols[1], heads) < np.maximum.reduceat(cols[1], heads)
-                cols.append(np.repeat(several, np.diff(np.append(heads, len(order)))))
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip(cols, kinds, strict=True)), pa.array(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))], [*names, "head"])
-
-    return docs.mapInArrow(run, PLACES + ", head boolean")
-
-
-def shared_places(places: DataFrame) -> DataFrame:
-    """Those of anchor_places whose anchor is in texts of several doc_ids.
-
-    Places meet by anchor. A batch of documents that finds an anchor in several sends one of its places there and deals
-    the others out at random, so that a very frequent anchor is no burden to one task."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Chunk(row)
+                h, _, _, doc = own.places(least)
+                if not len(h):
+                    continue
+                part, value, _ = _sent(h, doc, log_parts)
+                raw = value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                heads = _heads(part)
+                cuts = (np.append(heads, len(part)) * 5).tolist()
+                yield pa.RecordBatch.from_pydict({"part": pa.array(part[heads], pa.int32()), "chunk": pa.array([own.number] * len(heads), pa.int64()), "values": pa.array([raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+    return parts.mapInArrow(run, "part int, chunk long, values binary")
+
+
+def answered(questions: DataFrame) -> DataFrame:
+    """part, chunk, bits: which of the values that a chunk asked for are shared; no row where none is."""
 
     def run(batches):
-        held, known = None, None
+        part, rows = None, []
+
+        def answers():
+            sizes = np.array([len(v) // 5 for _, v in rows])
+            raw = np.zeros((int(sizes.sum()), 8), np.uint8)
+            raw[:, :5] = np.frombuffer(b"".join(v for _, v in rows), np.uint8).reshape(-1, 5)
+            value = raw.view("<u8").ravel()
+            order = np.argsort(value, kind="stable")
+            own = value[order] >> U(1)
+            heads = _heads(own)
+            count = np.diff(np.append(heads, len(own)))
+            shared = np.empty(len(value), bool)
+            shared[order] = np.repeat((count > 1) | (np.maximum.reduceat(value[order] & U(1), heads) == 1), count)
+            out = [(chunk, np.packbits(x).tobytes()) for (chunk, _), x in zip(rows, np.split(shared, np.cumsum(sizes)[:-1]), strict=True) if x.any()]
+            return pa.RecordBatch.from_pydict({"part": pa.array([part] * len(out), pa.int32()), "chunk": pa.array([x[0] for x in out], pa.int64()), "bits": pa.array([x[1] for x in out], pa.binary())})
+
         for batch in batches:
-            table = pa.Table.from_batches([batch] if held is None else [held, batch])
-            h, d, several = (table.column(c).to_numpy() for c in ("h", "doc_id", "several"))
-            if not len(h):
-                continue
-            heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            shared = (np.minimum.reduceat(d, heads) < np.maximum.reduceat(d, heads)) | np.logical_or.reduceat(several, heads)
-            if known is not None and h[0] == known:
-                shared[0] = True
-            known = held = None
-            if shared[-1]:
-                known = h[-1]
-            else:
-                held = table.slice(heads[-1]).combine_chunks().to_batches()[0]
-            yield from table.filter(pa.array(np.repeat(shared, np.diff(np.append(heads, len(h)))))).to_batches()
+            for p, chunk, values in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "values")), strict=True):
+                if p != part and rows:
+                    yield answers()
+                    rows = []
+                part = p
+                rows.append((chunk, values))
+        if rows:
+            yield answers()
 
-    at = F.when(F.col("several") & ~F.col("head"), F.xxhash64("h", "doc_id", "first")).otherwise(F.col("h"))
-    dealt = places.withColumn("_at", at).repartition("_at").drop("_at", "head").sortWithinPartitions("h")
-    return dealt.mapInArrow(run, PLACES).drop("several")
+    return questions.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, chunk long, bits binary")
 
 
-STRETCHES = "key binary, doc_id long, _t long, first int, n int, h long, lo long, hi long, bytes binary"
+PLACES = "h long, k long, chunk long, at int, n int, doc long"
 
 
-def stretches(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """STRETCHES: a row for each place (its key is a hash of the bytes that its windows cover), and for each batch of documents a row for each key (h, bytes; least and greatest doc_id)."""
-    runs = places.groupBy("doc_id", "_t").agg(F.collect_list(F.struct("first", "n", "h")).alias("runs"))
+def shared_places(parts: DataFrame, answers: DataFrame, log_parts: int, least: int) -> DataFrame:
+    """PLACES of anchors that are shared; k is the stretch's hash."""
 
-    def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in sliced(batches, "packed"):
-            out, seen = [], {}
-            for d, t, packed, runs in zip(batch.column("doc_id").to_pylist(), batch.column("_t").to_pylist(), batch.column("packed").to_pylist(), batch.column("runs"), strict=True):
-                text = unpack(packed)
-                for first, n, h in zip(*(runs.values.field(i).to_pylist() for i in range(3)), strict=True):
-                    own = text[first : first + n - 1 + least]
-                    if (known := seen.get(own)) is None:
-                        known = seen[own] = [hashlib.blake2b(own, digest_size=16).digest(), h, d, d]
-                    elif d < known[2]:
-                        known[2] = d
-                    elif d > known[3]:
-                        known[3] = d
-                    out.append((known[0], d, t, first, n))
-            nulls = [None] * len(out)
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = [x.split()[0] for x in STRETCHES.split(", ")]
-            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in out], k) for i, k in enumerate(kinds[:5])), *(pa.array(nulls, k) for k in kinds[5:])], names)
-            nulls = [None] * len(seen)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in seen.values()], pa.binary()), *(pa.array(nulls, k) for k in kinds[1:5]), *(pa.array([x[i] for x in seen.values()], pa.int64()) for i in (1, 2, 3)), pa.array(list(seen), pa.binary())], names)
-
-    rows = docs.select("doc_id", "_t", _packed("text").alias("packed")).join(runs, ["doc_id", "_t"])
-    return rows.select("doc_id", "_t", "packed", "runs").mapInArrow(run, STRETCHES)
+    def run(chunk: pa.Table, bits: pa.Table) -> pa.Table:
+        names, kinds = [x.split()[0] for x in PLACES.split(", ")], [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()]
+        if not chunk.num_rows or not bits.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names)
+        own = Chunk(chunk.to_pylist()[0])
+        h, at, n, doc = own.places(least)
+        part, value, place = _sent(h, doc, log_parts)
+        shared = np.zeros(len(value), bool)
+        for p, b in zip(bits.column("part").to_pylist(), bits.column("bits").to_pylist(), strict=True):
+            i, j = np.searchsorted(part, [p, p + 1])
+            shared[i:j] = np.unpackbits(np.frombuffer(b, np.uint8), count=j - i).astype(bool)
+        some = shared[place]
+        h, at, n, doc = h[some], at[some], n[some], doc[some]
+        cols = [h.view(np.int64), stretch_keys(own.text, at, n, least).view(np.int64), np.full(len(h), own.number), at, n, doc]
+        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names)
+
+    return parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, PLACES)
+
+
+def stretches(places: DataFrame) -> DataFrame:
+    """h, k, lo, hi (least and greatest doc_id), chunk, at, n (of one place), several (has the anchor others?) of each stretch."""
+    each = places.groupBy("h", "k").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("chunk").alias("chunk"), F.min_by("at", "chunk").alias("at"), F.min("n").alias("n"))
+    several = each.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select(F.col("h").alias("_h"))
+    return each.join(several, F.col("h") == F.col("_h"), "left").withColumn("several", F.col("_h").isNotNull()).drop("_h").where("several or lo < hi")
+
+
+def contents(parts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
+    """h, k, lo, hi, bytes of wanted stretches."""
+
+    def run(chunk: pa.Table, rows: pa.Table) -> pa.Table:
+        texts = []
+        if chunk.num_rows and rows.num_rows:
+            text = Chunk(chunk.to_pylist()[0]).text
+            texts = [text[i : i + n - 1 + least].tobytes() for i, n in zip(rows.column("at").to_pylist(), rows.column("n").to_pylist(), strict=True)]
+        rows = rows.slice(0, len(texts))
+        return pa.table([*(rows.column(c) for c in ("h", "k", "lo", "hi")), pa.array(texts, pa.binary())], ["h", "k", "lo", "hi", "bytes"])
+
+    return parts.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(run, "h long, k long, lo long, hi long, bytes binary")
 
 
 def window_minima(texts: list[bytes], docs: np.ndarray, least: int) -> list[np.ndarray]:
@@ -195,7 +260,7 @@ def window_minima(texts: list[bytes], docs: np.ndarray, least: int) -> list[np.n
     owner = np.repeat(np.arange(len(texts)), lengths + 1)[: len(s)]
     inside = np.arange(len(s)) - starts[owner] + least <= lengths[owner]
     # a window of one text isn't equal to what runs over an end
-    same = permuted_common(flat, order, least)[order] & inside[order] & np.concatenate([[False], inside[order[:-1]]])
+    same = (permuted_common(flat, order, least)[order] >= least) & inside[order] & np.concatenate([[False], inside[order[:-1]]])
     heads = np.flatnonzero(~same)
     low = np.minimum.reduceat(docs[owner[order]], heads)
     minima = np.empty(len(s), np.int64)
@@ -203,104 +268,116 @@ def window_minima(texts: list[bytes], docs: np.ndarray, least: int) -> list[np.n
     return [minima[a : a + n - least + 1] for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
 
 
+#: Minima of a stretch's windows, as runs of equal ones.
+RUNS = np.dtype([("n", "<i4"), ("low", "<i8")])
+
+
+def in_runs(m: np.ndarray) -> bytes:
+    heads = _heads(m)
+    out = np.empty(len(heads), RUNS)
+    out["n"], out["low"] = np.diff(np.append(heads, len(m))), m[heads]
+    return out.tobytes()
+
+
 def _shard(least: int, merged: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        # batches of documents may have sent a stretch each
-        group = group.groupby("key", sort=False).agg(lo=("lo", "min"), hi=("hi", "max"), bytes=("bytes", "first")).reset_index()
-        texts, keys = [bytes(x) for x in group["bytes"]], group["key"].tolist()
+        texts, h, k = [bytes(x) for x in group["bytes"]], group["h"].tolist(), group["k"].tolist()
         minima = window_minima(texts, group["lo"].to_numpy(), least)
         if not merged:
             # of use only where some document has a window that a smaller one has too
-            some = [(k, packed_minima(m)) for k, m, hi in zip(keys, minima, group["hi"].tolist(), strict=True) if m.min() < hi]
-            return pd.DataFrame(some, columns=["key", "minima"])
-        rows = [(key, k, hashlib.blake2b(t[k : k + least], digest_size=16).digest(), m) for key, t, own in zip(keys, texts, minima, strict=True) for k, m in enumerate(own.tolist())]
-        return pd.DataFrame(rows, columns=["key", "at", "w", "m"])
+            some = [(x, y, in_runs(m)) for x, y, m, hi in zip(h, k, minima, group["hi"].tolist(), strict=True) if m.min() < hi]
+            return pd.DataFrame(some, columns=["h", "k", "minima"])
+        rows = [(x, y, i, hashlib.blake2b(t[i : i + least], digest_size=16).digest(), m) for x, y, t, own in zip(h, k, texts, minima, strict=True) for i, m in enumerate(own.tolist())]
+        return pd.DataFrame(rows, columns=["h", "k", "i", "w", "m"])
 
     return run
 
 
-def packed_minima(m: np.ndarray) -> bytes:
-    """Little-endian 64-bit numbers; one, if all are equal."""
-    return (m[:1] if (m == m[0]).all() else m).astype("<i8").tobytes()
-
-
-def least_documents(found: DataFrame, least: int, shard_bytes: int, shard_stretches: int) -> DataFrame:
-    """key, minima (packed doc_ids, one for each window) of the stretches of `found`."""
-    rows = found.where("bytes is not null").select("key", "h", "lo", "hi", "bytes")
+def least_documents(rows: DataFrame, least: int, shard_bytes: int, shard_stretches: int, steps: Steps) -> DataFrame:
+    """h, k, minima (RUNS) of stretches (h, k, lo, hi, bytes)."""
     total = rows.agg(F.sum(F.length("bytes") + 1)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    many = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_stretches)
-    many = written(many.select("h", F.ceil(F.col("n") / shard_stretches).cast("int").alias("parts")), "frequent-anchors")
-    plain = rows.join(many, "h", "left_anti").withColumn("shard", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(shards)))
-    out = plain.groupBy("shard").applyInPandas(_shard(least, False), "key binary, minima binary")
+    many = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > shard_stretches)
+    many = steps.write("frequent-anchors", many.select(F.col("h").alias("_h"), F.ceil(F.col("c") / shard_stretches).cast("int").alias("parts")))
+    known = F.col("h") == F.col("_h")
+    plain = rows.join(many, known, "left_anti").withColumn("shard", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(shards)))
+    out = plain.groupBy("shard").applyInPandas(_shard(least, False), "h long, k long, minima binary")
     if many.isEmpty():
         return out
-    dealt = rows.join(many, "h").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
-    windows = written(dealt.groupBy("h", "part").applyInPandas(_shard(least, True), "key binary, at int, w binary, m long"), "windows")
+    dealt = rows.join(many, known).withColumn("part", F.pmod(F.xxhash64("k"), F.col("parts")))
+    windows = steps.write("windows", dealt.groupBy("h", "part").applyInPandas(_shard(least, True), "h long, k long, i int, w binary, m long"))
     low = windows.groupBy("w").agg(F.min("m").alias("low"))
-    pairs = windows.join(low, "w").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "low"))).alias("m"))
+    pairs = windows.join(low, "w").groupBy("h", "k").agg(F.array_sort(F.collect_list(F.struct("i", "low"))).alias("m"))
 
     def packed(batches):
         for batch in batches:
-            low = [packed_minima(np.array([x["low"] for x in m])) for m in batch.column("m").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(low, pa.binary())], ["key", "minima"])
-
-    return out.unionByName(pairs.mapInArrow(packed, "key binary, minima binary"))
-
-
-@F.arrow_udf(T.BinaryType())
-def _covered(first: pa.Array, n: pa.Array, doc: pa.Array, minima: pa.Array) -> pa.Array:
-    """Runs of window starts (32-bit: first, one beyond the last) of a place whose windows smaller documents have; null: none."""
-    out = []
-    for a, k, d, m in zip(first.to_pylist(), n.to_pylist(), doc.to_pylist(), minima.to_pylist(), strict=True):
-        if len(m) == 8:
-            out.append(np.array([a, a + k], "<i4").tobytes() if int.from_bytes(m, "little", signed=True) < d else None)
-            continue
-        gone = np.concatenate([[False], np.frombuffer(m, "<i8") < d, [False]])
-        at = np.flatnonzero(gone[1:] != gone[:-1]) + a
-        out.append(at.astype("<i4").tobytes() if len(at) else None)
-    return pa.array(out, pa.binary())
-
-
-def removals(keyed: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES, shard_stretches: int = SHARD_STRETCHES) -> DataFrame:
-    """doc_id, _t, windows (arrays of runs of window starts) of the documents that lose something."""
-    known = keyed.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= least))
-    places = written(shared_places(anchor_places(known, least)), "anchor-places")
-    found = written(stretches(known, places, least), "stretches")
-    low = written(least_documents(found, least, shard_bytes, shard_stretches), "least-documents")
-    back = found.where("bytes is null").select("key", "doc_id", "_t", "first", "n").join(low, "key")
-    marks = back.select("doc_id", "_t", _covered("first", "n", "doc_id", "minima").alias("w")).where("w is not null")
-    return written(marks.groupBy("doc_id", "_t").agg(F.collect_list("w").alias("windows")), "removals")
-
-
-def keep(text: bytes, windows: list[bytes] | None, least: int) -> tuple[bytes, int, int]:
-    """What stays, how many bytes go, in how many runs."""
-    if not windows:
-        return text, 0, 0
-    at, n = np.frombuffer(b"".join(windows), "<i4").astype(np.int64), len(text)
-    steps = np.bincount(at[::2], minlength=n + 1) - np.bincount(at[1::2] + (least - 1), minlength=n + 1)
-    gone = np.cumsum(steps)[:n] > 0
-    runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), runs
+            low = [in_runs(np.array([x["low"] for x in m])) for m in batch.column("m").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("k"), pa.array(low, pa.binary())], ["h", "k", "minima"])
+
+    return out.unionByName(pairs.mapInArrow(packed, "h long, k long, minima binary"))
+
+
+KEPT = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
+
+
+def covered(marks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of runs that smaller documents have. marks: at, n, doc, lo or minima."""
+    at, n, doc = (marks.column(c).to_numpy().astype(np.int64) for c in ("at", "n", "doc"))
+    minima = marks.column("minima").combine_chunks()
+    plain = minima.is_null().to_numpy(zero_copy_only=False)
+    own = [x for x in minima.to_pylist() if x is not None]
+    runs = np.frombuffer(b"".join(own), RUNS)
+    sizes = np.array([len(x) // RUNS.itemsize for x in own], np.int64)
+    # where each run lies in its place
+    total = np.cumsum(runs["n"].astype(np.int64)) - runs["n"]
+    first = np.repeat(at[~plain] - total[np.cumsum(sizes) - sizes] if len(own) else at[:0], sizes) + total
+    gone = runs["low"] < np.repeat(doc[~plain], sizes)
+    return np.concatenate([at[plain], first[gone]]), np.concatenate([n[plain], runs["n"][gone].astype(np.int64)])
+
+
+def cut(chunk: Chunk, marks: pa.Table, least: int) -> pa.Table:
+    """KEPT of a chunk's documents."""
+    text, ends = chunk.text, chunk.ends
+    starts = np.concatenate([[0], ends[:-1]])
+    gone = np.zeros(len(text), bool)
+    if marks.num_rows:
+        at, n = covered(marks)
+        steps = np.bincount(at, minlength=len(text) + 1) - np.bincount(at + (n - 1 + least), minlength=len(text) + 1)
+        gone = np.cumsum(steps)[: len(text)] > 0
+    opens = gone.copy()
+    opens[1:] &= ~gone[:-1]
+    opens[starts[starts < len(text)]] = gone[starts[starts < len(text)]]
+    removed, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, opens))
+    removed, spans = removed[ends] - removed[starts], spans[ends] - spans[starts]
+    kept = [text[i:j].tobytes() if not r else text[i:j][~gone[i:j]].tobytes() for i, j, r in zip(starts.tolist(), ends.tolist(), removed.tolist(), strict=True)]
+    cols = [pa.array(chunk.docs, pa.int64(), mask=chunk.known == 0), pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (ends - starts, removed, spans))]
+    return pa.table(cols, [x.split()[0] for x in KEPT.split(", ")])
 
 
 def without_repeats(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHARD_BYTES, shard_stretches: int = SHARD_STRETCHES) -> DataFrame:
     """doc_id, kept (binary: what stays of the text), n_bytes, n_removed, n_spans for each row of docs (doc_id, text)."""
     if not 2 * ANCHOR - 8 <= least:
         raise ValueError(f"least must be {2 * ANCHOR - 8} or more")
-    keyed = _keyed(docs)
-    gone = removals(keyed, least, shard_bytes, shard_stretches)
-    rows = keyed.select("doc_id", "_t", _packed("text").alias("packed")).join(gone, ["doc_id", "_t"], "left")
-
-    def run(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            texts = [unpack(x) if x else b"" for x in batch.column("packed").to_pylist()]
-            kept = [keep(t, w, least) for t, w in zip(texts, batch.column("windows").to_pylist(), strict=True)]
-            cols = [batch.column("doc_id"), pa.array([k[0] for k in kept], pa.binary()), *(pa.array(x, pa.int64()) for x in ([len(t) for t in texts], [k[1] for k in kept], [k[2] for k in kept]))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
-
-    return rows.select("doc_id", "packed", "windows").mapInArrow(run, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
+    steps = Steps(docs.sparkSession)
+    parts = steps.write("chunks", chunks(docs))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    log_parts = max(1, min(64 - BITS, (size // PART).bit_length()))
+    answers = steps.write("answers", answered(asked(parts, log_parts, least)))
+    places = steps.write("places", shared_places(parts, answers, log_parts, least))
+    found = steps.write("stretches", stretches(places))
+    texts = steps.write("contents", contents(parts, found.where("several"), least))
+    single = found.where("not several").select("h", "k", "lo", F.lit(None).cast("binary").alias("minima"))
+    sorted_out = least_documents(texts, least, shard_bytes, shard_stretches, steps).select("h", "k", F.lit(None).cast("long").alias("lo"), "minima")
+    low = steps.write("least-documents", single.unionByName(sorted_out))
+    steps.drop("answers", "stretches", "contents")
+    marks = places.join(low, ["h", "k"]).where("minima is not null or lo < doc").select("chunk", "at", "n", "doc", "minima")
+    marks = steps.write("marks", marks)
+    steps.drop("places", "least-documents")
+
+    def run(chunk: pa.Table, own: pa.Table) -> pa.Table:
+        return pa.concat_tables([cut(Chunk(row), own, least) for row in chunk.to_pylist()])
+
+    return parts.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(run, KEPT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,9 +29,19 @@ def leftmost_smaller(smaller: np.ndarray) -> np.ndarray:
     return np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
 
 
+def stable_order(c: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0 on, by 16-bit digits: linear (numpy sorts those by radix)."""
+    order = np.argsort((c & 0xFFFF).astype(np.uint16), kind="stable")
+    top, shift = int(c.max()) if len(c) else 0, 16
+    while top >> shift:
+        order = order[np.argsort((c[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+        shift += 16
+    return order
+
+
 def _ranks(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A stable order by character, where each character's group starts in it, each one's place in its group."""
-    order = np.argsort(chars, kind="stable")
+    order = stable_order(chars.astype(np.int64)) if chars.dtype != np.uint16 else np.argsort(chars, kind="stable")
     c = chars[order]
     first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
     sizes = np.diff(np.append(first, len(c)))
@@ -129,32 +139,34 @@ def suffix_array(s: np.ndarray, characters: int | None = None) -> np.ndarray:
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         names, k = _names(s, lms, sorted_substrings[is_lms[sorted_substrings]])
-        lms = lms[np.argsort(names) if k == len(lms) else suffix_array(names, k)]
+        lms = lms[stable_order(names) if k == len(lms) else suffix_array(names, k)]
     return induce(wide, smaller, bounds, lms)
 
 
-def permuted_common(s: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
-    """For each place of s, in text order: does its suffix share `least` or more elements with the one before it in order?
+def permuted_common(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """For each place of s (bytes), in text order: how many elements its suffix shares with the one before it in order, `most` at most.
 
-    s: bytes (0 to 255). Eight elements are compared at once, and only where all before them agreed."""
+    Eight elements are compared at once, and only where all before them agreed; where they differ, the lowest bit that does tells the first element."""
     n = len(s)
-    out = np.zeros(n, bool)
-    if n < least or n < 2:
+    out = np.zeros(n, np.int64)
+    if n < 2:
         return out
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    room = n - least
-    at = np.flatnonzero((before[: room + 1] >= 0) & (before[: room + 1] <= room))
-    words = np.zeros(n - 7 if n > 7 else 0, np.uint64)
+    padded = np.concatenate([s, np.zeros(8, np.uint8)]).astype(np.uint64)
+    words = np.zeros(n, np.uint64)
     for i in range(8):
-        words |= s[i : i + len(words)].astype(np.uint64) << np.uint64(8 * i)
-    offsets = [*range(0, least - 7, 8)]
-    if offsets and offsets[-1] + 8 < least:
-        offsets.append(least - 8)
-    if least < 8:
-        for k in range(least):
-            at = at[s[at + k] == s[before[at] + k]]
-    for k in offsets:
-        at = at[words[at + k] == words[before[at] + k]]
-    out[at] = True
+        words |= padded[i : n + i] << np.uint64(8 * i)
+    at = np.flatnonzero(before >= 0)
+    room = np.minimum(most, n - np.maximum(at, before[at]))
+    for k in range(0, most, 8):
+        left = room > k
+        at, room = at[left], room[left]
+        if not len(at):
+            break
+        differ = words[at + k] ^ words[before[at] + k]
+        low = differ & (~differ + np.uint64(1))
+        equal = np.where(differ == 0, 8, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) >> 3)
+        out[at] = np.minimum(k + equal, room)
+        at, room = at[differ == 0], room[differ == 0]
     return out
