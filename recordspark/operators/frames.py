@@ -1,8 +1,8 @@
 """Array functions' counterparts on whole frames: lazy, shuffled by Spark, of any size.
 
 Running operators take `order` (columns that order rows; name enough of them that ties don't matter) and `by` (columns of
-the groups). Without `by` one task orders all rows, as a running total over a whole table must: prefix_sum() and
-row_numbers() do that in parallel instead."""
+the groups). Without `by` one task orders all rows; running sums and counts, prefix_sum() and row_numbers() are parallel
+there too."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from recordspark.functions.arrays import test
 from recordspark.functions.base import truthy
+from recordspark.storage import checkpoints
 
 #: Bytes of a lookup table up to which it is broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -36,8 +37,12 @@ def _so_far(order, by):
 
 
 def running(df: DataFrame, out: str, value: str | Column, order: Sequence, by: Sequence = (), op: str = "sum") -> DataFrame:
-    """An accumulator's value after each row: sum (add), count, min, max, concat, first, last (set), product, mean."""
+    """An accumulator's value after each row: sum (add), count, min, max, concat, first, last (set), product, mean.
+
+    Sums and counts without `by` go by prefix_sum(). Each row of a concat holds all text before it: by design, as long as that."""
     v = F.col(value) if isinstance(value, str) else value
+    if not by and op in ("sum", "add", "count"):
+        return prefix_sum(df, F.when(v.isNotNull(), 1).otherwise(0) if op == "count" else v, order, out)
     w = _so_far(order, by)
     total = {
         "sum": F.sum, "add": F.sum, "count": F.count, "min": F.min, "max": F.max, "mean": F.avg, "product": F.product,
@@ -152,26 +157,39 @@ def zip_rows(left: DataFrame, right: DataFrame, left_order: Sequence[str], right
     return row_numbers(left, left_order, "_n").join(row_numbers(right, right_order, "_n"), "_n", "full").withColumnRenamed("_n", "position")
 
 
-def _parts(df: DataFrame, order: Sequence[str], partitions: int | None):
-    """df ordered over partitions, with its partition's number."""
+def _settled(df: DataFrame, order: Sequence[str], partitions: int | None) -> DataFrame:
+    """df in order over partitions, each row with the number of its partition (_part) and its place there (_place, from 0).
+
+    Ranges are sampled anew whenever such a frame is computed, and plans may merge its partitions differently. So it is
+    written once, as a reliable checkpoint, and all that follows reads that copy."""
+    checkpoints(df.sparkSession)
     ordered = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
-    return ordered.sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    fixed = ordered.sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    # in each partition of the copy these numbers grow by one from row to row
+    return fixed.withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def _offsets(df: DataFrame, total: Column) -> DataFrame:
+    """_part, _before: the sum of `total` over the partitions before. A row for each partition, so one task is enough."""
+    sums = df.groupBy("_part").agg(total.alias("_sum"))
+    before = F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return sums.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
 
 
 def row_numbers(df: DataFrame, order: Sequence[str], out: str = "row_number", start: int = 1, partitions: int | None = None) -> DataFrame:
-    """Gapless numbers in order, without one task that sees all rows: each partition counts, and starts from the sum of those before."""
-    return prefix_sum(df, F.lit(1), order, out, partitions).withColumn(out, F.col(out) + (start - 1))
+    """Gapless numbers in order, without one task that sees all rows: a row's place in its partition, and the rows before that."""
+    rows = _settled(df, order, partitions)
+    before = F.broadcast(_offsets(rows, F.count(F.lit(1))))
+    return rows.join(before, "_part").withColumn(out, F.col("_before") + F.col("_place") + start).select(*[c for c in df.columns if c != out], out)
 
 
 def prefix_sum(df: DataFrame, value: str | Column, order: Sequence[str], out: str = "prefix_sum", partitions: int | None = None) -> DataFrame:
-    """A running total over the whole frame, partition by partition."""
+    """A running total over the whole frame, partition by partition; a null adds nothing. Rows that tie in order have any order among them."""
     v = F.col(value) if isinstance(value, str) else value
-    parts = _parts(df.withColumn("_v", v), order, partitions)
-    sums = parts.groupBy("_part").agg(F.sum("_v").alias("_sum"))
-    before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.sum("_v").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    # a row for each partition: of a size that is known
-    return parts.join(F.broadcast(before), "_part").withColumn(out, own + F.col("_before")).drop("_part", "_v", "_before")
+    rows = _settled(df.withColumn("_v", v), order, partitions)
+    before = F.broadcast(_offsets(rows, F.sum("_v")))
+    own = F.coalesce(F.sum("_v").over(Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    return rows.join(before, "_part").withColumn(out, own + F.col("_before")).select(*[c for c in df.columns if c != out], out)
 
 
 def sequence(df: DataFrame, order: Sequence[str], out: str = "sequence", start: int = 0) -> DataFrame:

@@ -99,9 +99,9 @@ def group_rows(spark, sf_dir):
     return g.select("o_custkey", F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), ",").alias("orders"))
 
 
-@query("filters", "select p_partkey, p_size from part where p_size >= 10 and p_type like '%BRASS%'")
+@query("filters", "select p_partkey, p_size from part where p_size >= 10 and p_type like '%PROMO%'")
 def filters(spark, sf_dir):
-    return frames.filter_rows(frames.filter_rows(table(spark, sf_dir, "part"), "p_size", ">=", 10), "p_type", "contains", "BRASS").select("p_partkey", "p_size")
+    return frames.filter_rows(frames.filter_rows(table(spark, sf_dir, "part"), "p_size", ">=", 10), "p_type", "contains", "PROMO").select("p_partkey", "p_size")
 
 
 @query("lookup_join", "select c_custkey, coalesce(n_name, 'none') as nation from customer left join (select * from nation where n_nationkey < 20) on c_nationkey = n_nationkey")

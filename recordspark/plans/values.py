@@ -198,13 +198,13 @@ ARRAYS = "with a as (select l_orderkey, list(l_quantity::int order by l_linenumb
 
 @query("array_statistics", """
 select l_orderkey, sum(l_quantity::int)::double as total, count(*) as n, min(l_quantity::int)::double as lo, max(l_quantity::int)::double as hi, round(avg(l_quantity::int), 6) as mean, round(var_pop(l_quantity::int), 6) as var, round(stddev_pop(l_quantity::int), 6) as sd,
-  round(var_samp(l_quantity::int), 6) as var_s, round(quantile_cont(l_quantity::int::double, 0.5), 6) as med, round(quantile_cont(l_quantity::int::double, 0.3), 6) as p30, round(covar_pop(l_quantity::int, l_extendedprice), 0) as cov,
+  round(var_samp(l_quantity::int), 6) as var_s, round(quantile_cont(l_quantity::int::double, 0.5), 6) as med, round(quantile_cont(l_quantity::int::double, 0.3), 6) as p30, round(covar_pop(l_quantity::int, l_extendedprice), 6) as cov,
   sum(l_quantity::int * l_quantity::int) / sum(l_quantity::int) as weighted from lineitem group by 1""")
 def array_statistics(spark, sf_dir):
     q, p, r = F.col("q"), F.col("p"), lambda c, d=6: F.round(c, d)
     return quantities(spark, sf_dir).select(*shown(
         F.col("l_orderkey"), total=v("sum", q), n=v("count", q), lo=v("min", q), hi=v("max", q), mean=r(v("avg", q)), var=r(v("variance", q)), sd=r(v("std", q)), var_s=r(v("varianceSample", q)), med=r(v("median", q)), p30=r(v("percentile", q, 30)),
-        cov=r(v("covariance", q, p), 0), weighted=v("weightedAvg", q, q),
+        cov=r(v("covariance", q, p)), weighted=v("weightedAvg", q, q),
     ))
 
 

@@ -127,3 +127,20 @@ def test_frames_by_hand(spark):
     small = spark.range(3).select((F.col("id") * 10).alias("x"))
     zipped = frames.zip_rows(small, small.where("x > 0").withColumnRenamed("x", "y"), ["x"], ["y"]).orderBy("position").collect()
     assert [(r.x, r.y) for r in zipped] == [(0, 10), (10, 20), (20, None)]
+
+
+@pytest.mark.parametrize("partitions", [None, 16])
+def test_numbers_of_wide_rows_have_no_gaps(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.range(120_000).select(F.xxhash64("id").alias("k"), "id", F.repeat(F.sha2(F.col("id").cast("string"), 512), 6).alias("payload"))
+        out = frames.row_numbers(df, ["k"], partitions=partitions)
+        sums = out.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("row_number").alias("d"), F.min("row_number").alias("lo"), F.max("row_number").alias("hi"), F.sum(F.length("payload")).alias("p")).first()
+        assert tuple(sums) == (120_000, 120_000, 1, 120_000, 120_000 * 768)
+        wrong = out.join(out.select((F.col("row_number") + 1).alias("row_number"), F.col("k").alias("earlier")), "row_number").where("earlier >= k")
+        assert wrong.count() == 0
+        total = frames.prefix_sum(df, "id", ["k"], partitions=partitions).agg(F.max("prefix_sum"), F.countDistinct("prefix_sum"), F.count(F.lit(1))).first()
+        assert (total[0], total[2]) == (sum(range(120_000)), 120_000) and total[1] >= 119_999  # id 0 adds nothing
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
