@@ -162,7 +162,8 @@ Id = "@o_orderkey :type integer"
 Priority = "%upper @o_orderpriority :trim :truncate ##8"
 Gross = "%multiply @o_totalprice $const.rate :decimals ##2"
 Status = %lookupDefault "status.name" @o_orderstatus "other"
-Owner.Code = "@o_custkey :type integer :confidential"
+Owner.Code = "@o_orderpriority :confidential"
+Owner.Number = "@o_custkey :type integer :confidential"
 {Large}
 _if = %gt @o_totalprice #200000
 Price = @o_totalprice
@@ -177,16 +178,16 @@ Label = %concat @Order.Status "/" %length @Order.Owner.Code
 
 
 @query("mapping", """
-select o_orderkey as id, upper(trim(o_orderpriority))[:8] as priority, round(o_totalprice * 1.1, 2) as gross, case o_orderstatus when 'O' then 'open' when 'F' then 'filled' else 'other' end as status, repeat('*', length(o_custkey::varchar)) as owner,
-  case when o_totalprice > 200000 then o_totalprice end as large, n as n_lines, s as parts, case o_orderstatus when 'O' then 'open' when 'F' then 'filled' else 'other' end || '/' || length(o_custkey::varchar) as label
+select o_orderkey as id, upper(trim(o_orderpriority))[:8] as priority, round(cast((o_totalprice * 1.1)::varchar as decimal(38, 15)), 2)::double as gross, case o_orderstatus when 'O' then 'open' when 'F' then 'filled' else 'other' end as status, repeat('*', length(o_orderpriority)) as owner, null::varchar as owner_number,
+  case when o_totalprice > 200000 then o_totalprice end as large, coalesce(n, 0) as n_lines, coalesce(s, 0) as parts, case o_orderstatus when 'O' then 'open' when 'F' then 'filled' else 'other' end || '/' || length(o_orderpriority) as label
 from orders left join (select l_orderkey, count(*) as n, sum(l_partkey)::bigint as s from lineitem group by 1) on l_orderkey = o_orderkey""")
 def mapped(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_partkey").alias("part"))).alias("lines"))
     out = mapping.apply(o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left"), SPEC)
     return out.select(
-        F.col("Order.Id").alias("id"), F.col("Order.Priority").alias("priority"), F.col("Order.Gross").alias("gross"), F.col("Order.Status").alias("status"), F.col("Order.Owner.Code").alias("owner"), F.col("Large.Price").alias("large"),
-        F.when(F.col("Lines").isNotNull(), F.size("Lines")).alias("n_lines"), F.aggregate("Lines", F.lit(0).cast("bigint"), lambda s, x: s + x["Part"]).alias("parts"), F.col("Summary.Label").alias("label"),
+        F.col("Order.Id").alias("id"), F.col("Order.Priority").alias("priority"), F.col("Order.Gross").alias("gross"), F.col("Order.Status").alias("status"), F.col("Order.Owner.Code").alias("owner"), F.col("Order.Owner.Number").alias("owner_number"), F.col("Large.Price").alias("large"),
+        F.size("Lines").alias("n_lines"), F.aggregate("Lines", F.lit(0).cast("bigint"), lambda s, x: s + x["Part"]).alias("parts"), F.col("Summary.Label").alias("label"),
     )
 
 
@@ -292,3 +293,88 @@ def typed_text(spark, sf_dir):
 
 
 __all__ = ["Q", "SQL"]
+
+
+NESTED = """
+{$}
+const.sizes[0] = "small"
+const.sizes[1] = "large"
+{table.status[] : code, name}
+O, open
+F, filled
+{Order}
+Id = @o_orderkey
+Tags[] = @o_orderstatus
+Tags[] = %lower @o_orderpriority
+Slots[2] = $const.sizes[1]
+Both = {key = @o_custkey, state = {name = %lookup "status.name" @o_orderstatus, size = $const.sizes[0]}}
+{.Customer}
+Key = @o_custkey
+{.Customer.Price}
+Total = @o_totalprice
+{Points[0]}
+Label = "key"
+Value = @o_orderkey
+{Points[1]}
+Label = "customer"
+Value = @o_custkey
+Extra = @o_orderstatus
+{Lines[]}
+_loop = @lines
+Text = %concat @_index "/" @_length
+{Single[]}
+_loop = @o_orderstatus
+_ = %lower @_item
+{Large}
+_if = %gt @o_totalprice #200000
+Price = @o_totalprice
+{Large}
+Always = ##1
+"""
+
+
+@query("mapping_nested", """
+select o_orderkey as id, o_orderstatus || ',' || lower(o_orderpriority) as tags, '-,-,large' as slots, o_custkey as key, case o_orderstatus when 'O' then 'open' when 'F' then 'filled' end as name, 'small' as size, o_custkey as customer, o_totalprice as total,
+  'key:' || o_orderkey || ':- customer:' || o_custkey || ':' || o_orderstatus as points, coalesce(array_to_string(list_transform(generate_series(0, n - 1), lambda i: i || '/' || n), ','), '') as lines, lower(o_orderstatus) as single, case when o_totalprice > 200000 then o_totalprice end as large, 1 as always
+from orders left join (select l_orderkey, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey""")
+def mapping_nested(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("lines"))
+    out = mapping.apply(o.join(lines, o["o_orderkey"] == lines["l_orderkey"], "left"), NESTED)
+    point = lambda p: F.concat_ws(":", p["Label"], p["Value"].cast("string"), F.coalesce(p["Extra"], F.lit("-")))
+    return out.select(
+        F.col("Order.Id").alias("id"), F.array_join("Order.Tags", ",").alias("tags"), F.array_join("Order.Slots", ",", "-").alias("slots"), F.col("Order.Both.key").alias("key"), F.col("Order.Both.state.name").alias("name"), F.col("Order.Both.state.size").alias("size"),
+        F.col("Order.Customer.Key").alias("customer"), F.col("Order.Customer.Price.Total").alias("total"), F.array_join(F.transform("Points", point), " ").alias("points"), F.array_join(F.transform("Lines", lambda x: x["Text"]), ",").alias("lines"),
+        F.array_join("Single", ",").alias("single"), F.col("Large.Price").alias("large"), F.col("Large.Always").alias("always"),
+    )
+
+
+@query("mapping_errors", """
+select o_orderkey as id, case when o_orderkey % 2 = 0 then o_orderkey end as number, case when o_orderkey % 2 = 0 then 'Out.Wrong' else 'Out.Number,Out.Wrong' end as errors from orders""")
+def mapping_errors(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("mixed", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).otherwise("word"))
+    out = mapping.apply(o, '{Out}\nNumber = "@mixed :type integer"\nWrong = %nothing @mixed', keep=["o_orderkey"], errors="errors")
+    return out.select(F.col("o_orderkey").alias("id"), F.col("Out.Number").alias("number"), F.array_join(F.transform("errors", lambda e: F.concat_ws(".", e["section"], e["field"])), ",").alias("errors"))
+
+
+@query("routed_merge", """
+select o_custkey, count(case when o_orderstatus = 'O' then 1 end) as opened, coalesce(string_agg(case when o_orderstatus <> 'O' then o_orderkey::varchar end, ',' order by o_orderkey), '') as others, max(case when o_orderstatus = 'O' then o_orderkey end) as last_open from orders group by 1""")
+def routed_merge(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    specs = {"O": "{Open[]}\nkey = @o_orderkey\n{Last}\nkey = @o_orderkey", "F,P": "{Others[]}\nkey = @o_orderkey"}
+    out = mapping.route_and_merge(o, F.col("o_orderstatus"), specs, ["o_custkey"], "o_orderkey")
+    return out.select("o_custkey", F.size("Open").cast("long").alias("opened"), F.array_join(F.transform("Others", lambda x: x["key"]), ",").alias("others"), F.col("Last.key").alias("last_open"))
+
+
+@query("accumulator_passes", "select sum(case when o_orderstatus = 'O' then 1 else 0 end)::bigint as reset, (count(*) + sum(case when o_orderstatus = 'O' then 1 else 0 end))::bigint as kept from orders")
+def accumulator_passes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").withColumn("one", F.lit(1)).withColumn("open", F.when(F.col("o_orderstatus") == "O", 1).otherwise(0))
+    spec = "{$}\naccumulator.kept._persist = true\n{_first}\n_pass = ##1\nreset = sum @one\nkept = sum @one\n{_second}\n_pass = ##2\nreset = sum @open\nkept = sum @open"
+    return mapping.accumulators(o, spec, "o_orderkey")
+
+
+@query("head_discriminator", "select o_orderstatus as kind, count(*) as n from orders group by 1")
+def head_discriminator(spark, sf_dir):
+    spec = '{$source}\ndiscriminator.type = "position"\ndiscriminator.pos = "0"\ndiscriminator.len = "1"'
+    lines = table(spark, sf_dir, "orders").select(F.concat("o_orderstatus", F.lpad(F.col("o_orderkey").cast("string"), 12, "0")).alias("line"))
+    return lines.groupBy(mapping.discriminator(spec).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
