@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recordspark.llm.common import slice_arrays
+
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 #: Strings that end or open turns, here or in common templates; in a text each gets a backslash after its first character.
 CONTROLS = ("<|turn|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
@@ -44,7 +46,7 @@ def token_counts(path: str):
         from recordspark.llm.tokens import encoder
 
         own = encoder(path)
-        return pa.array([len(x) // own.width for x in own.encode(texts.to_pylist())], pa.int64())
+        return pa.array([len(x) // own.width for part in slice_arrays(texts, 1_000_000) for x in own.encode(part.to_pylist())], pa.int64())
 
     return count
 

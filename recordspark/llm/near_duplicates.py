@@ -154,7 +154,7 @@ def signed(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for batch in sliced(batches, "text", 2_000_000):
+        for batch in sliced(batches, "text", 1_000_000):
             texts = [(x or b"").split() for x in batch.column("text").cast(pa.binary()).to_pylist()]
             some = [i for i, words in enumerate(texts) if words]
             if not some:
@@ -195,7 +195,7 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches):
         hashes, key, head = WordHashes(), None, np.empty(0, U)
-        for batch in sliced(batches, "text", 2_000_000):
+        for batch in sliced(batches, "text", 1_000_000):
             found, start = [], 0
             flat, sizes = shingle_sets([x.split() for x in batch.column("text").cast(pa.binary()).to_pylist()], hashes)
             for a, g, node, member, n in zip(*(batch.column(c).to_pylist() for c in ("a", "g", "node", "member")), sizes.tolist(), strict=True):

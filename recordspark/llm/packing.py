@@ -19,7 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordspark.llm.tokens import encoder, slices
+from recordspark.llm.common import sliced
+from recordspark.llm.tokens import encoder
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -76,15 +77,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
         own, task = encoder(tokenizer), TaskContext.get().partitionId()
         number = task << 36
         keys, texts, held = [], [], 0
-        for batch in batches:
-            new_keys, new_texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for i, j in slices(new_texts):
-                ids = own.encode(new_texts[i:j])
-                keys, texts, held = keys + new_keys[i:j], texts + ids, held + sum(map(len, ids)) // own.width + j - i
-                if held >= block_tokens:
-                    out, n = block(keys, texts, task, number, own)
-                    number, keys, texts, held = number + n, [], [], 0
-                    yield out
+        for batch in sliced(batches, "text", 1_000_000):
+            ids = own.encode(batch.column("text").to_pylist())
+            keys, texts, held = keys + batch.column("doc_id").to_pylist(), texts + ids, held + sum(map(len, ids)) // own.width + len(ids)
+            if held >= block_tokens:
+                out, n = block(keys, texts, task, number, own)
+                number, keys, texts, held = number + n, [], [], 0
+                yield out
         if keys:
             yield block(keys, texts, task, number, own)[0]
 

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordspark.llm.common import new_path, scan_partitions, written
-from recordspark.llm.tokens import encoder, slices
+from recordspark.llm.common import new_path, scan_partitions, sliced, written
+from recordspark.llm.tokens import encoder
 
 MANIFEST = "part int, file string, width int, n_docs long, n_tokens long"
 
@@ -48,14 +48,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str | Non
         offset = n_docs = 0
         bin_, idx, doc, there = (fs.open_output_stream(f"{at}/{name}.{x}") for x in ("bin", "idx", "doc", "nul"))
         idx.write(np.zeros(1, "<u8").tobytes())
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for i, j in slices(texts):
-                ids = own.encode(texts[i:j])
-                bin_.write(b"".join([y for x in ids for y in (x, end)]))
-                ends = offset + np.cumsum([len(x) // own.width + 1 for x in ids], dtype="<u8")
-                idx.write(ends.tobytes())
-                offset = int(ends[-1])
+        for batch in sliced(batches, "text", 1_000_000):
+            ids = own.encode(batch.column("text").to_pylist())
+            bin_.write(b"".join([y for x in ids for y in (x, end)]))
+            ends = offset + np.cumsum([len(x) // own.width + 1 for x in ids], dtype="<u8")
+            idx.write(ends.tobytes())
+            offset = int(ends[-1])
             keys = batch.column("doc_id")
             doc.write(keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             there.write(np.asarray(keys.is_valid()).astype("u1").tobytes())

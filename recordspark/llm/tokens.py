@@ -24,7 +24,7 @@ class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned integers of `width` bytes."""
 
     #: Words kept at once; beyond that the cache starts anew.
-    LIMIT = 750_000
+    LIMIT = 500_000
     #: New words that go to the library in one text.
     TOGETHER = 1000
 
@@ -133,16 +133,3 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
-
-
-def slices(texts: list, most: int = 4_000_000):
-    """Ranges of texts of at most `most` characters together, or one text."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        n = len(x) if x else 0
-        if i > start and size + n > most:
-            yield start, i
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
