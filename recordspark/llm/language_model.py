@@ -7,10 +7,11 @@ two before, and, skipping, the second and the third before. The last is the word
 tokens; a word that training has not seen has the share that smoothing sets aside. So probabilities of all words,
 unseen ones as one, add up to 1.
 
-Weights are trained on all training documents: each task runs through its documents in batches of gradient updates from
-the weights it is given, and the tasks' weights are averaged by their tokens; ROUNDS times. The weights have a fixed
-size (2 * BUCKETS * 16 numbers, 4 MB); the table of the most frequent words that tasks are sent has MOST_KNOWN at most. Counts
-of all other words stay in Spark and meet the documents by a join.
+Weights are trained on all training documents, which a hash deals to ROUNDS rounds. In a round all tasks sum up the
+gradient of the round's documents at the same weights; the sum over all tasks moves the weights once, by a diagonal
+Newton step. So scores depend on the documents, not on how they are partitioned (but for the last digits of sums). The
+weights have a fixed size (2 * BUCKETS * 16 numbers, 4 MB); the table of the most frequent words that tasks are sent has
+MOST_KNOWN at most. Counts of all other words stay in Spark and meet the documents by a join.
 
 Training documents are those whose crc32(doc_id as text) mod 10 isn't 0; a row without doc_id is one. Null and empty texts
 are an end alone. Equal rows count each. Without training documents all tokens are unseen. An empty table gives no rows.
@@ -29,10 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recordspark.llm.common import written
+from recordspark.llm.common import sliced, written
 
 CLASSES, SUBCLASSES, BUCKETS, FEATURES = 16, 16, 1 << 15, 4
-ROUNDS, RATE, BATCH = 1, 0.25, 1 << 14
+ROUNDS, BATCH = 6, 1 << 15
+#: A step is the gradient over CURVED times the variance of its output in as many tokens, and LEVELLED; LONGEST at most.
+CURVED, LEVELLED, LONGEST = 2.5, 4.0, 1.5
 MOST_KNOWN = 100_000
 #: The end is no word: words hold no blanks.
 END = b" "
@@ -105,11 +108,10 @@ _ONES = np.ones(CLASSES, np.float32)
 
 
 class Model:
-    """Weights of both softmaxes and their sums of squared gradients (which set the rates)."""
+    """Weights of both softmaxes."""
 
     def __init__(self, weights: np.ndarray | None = None):
-        self.w = np.zeros((2, BUCKETS, CLASSES), np.float32) if weights is None else weights.copy()
-        self.squares = np.full((2, BUCKETS), 1e-2, np.float32)
+        self.w = np.zeros((2, BUCKETS, CLASSES), np.float32) if weights is None else weights
 
     def logits(self, buckets: np.ndarray, cells: np.ndarray):
         """For each softmax: buckets (a row for each feature), wanted output, logits, exp(logits) and their sums."""
@@ -122,16 +124,21 @@ class Model:
             z = np.exp(total)
             yield at, wanted, total, z, z @ _ONES
 
-    def update(self, buckets: np.ndarray, cells: np.ndarray) -> None:
-        n = np.arange(len(cells))
-        for level, (at, wanted, _, p, sums) in enumerate(self.logits(buckets, cells)):
-            p /= sums[:, None]
-            p[n, wanted] -= 1
-            flat, gradient = at.ravel(), np.empty((BUCKETS, CLASSES), np.float32)
+    def gradient(self, buckets: np.ndarray, cells: np.ndarray, sums: np.ndarray) -> None:
+        """Adds to sums, for each softmax and bucket: wanted less expected outputs, and, last, how many tokens have the bucket."""
+        for level, (at, wanted, _, p, total) in enumerate(self.logits(buckets, cells)):
+            p /= total[:, None]
+            flat = at.ravel().astype(np.int64)
+            own = np.bincount(flat * CLASSES + np.tile(wanted, FEATURES), minlength=BUCKETS * CLASSES).reshape(BUCKETS, CLASSES)
+            sums[level, :, :CLASSES] += own
+            sums[level, :, CLASSES] += own.sum(1)
             for c in range(CLASSES):
-                gradient[:, c] = np.bincount(flat, np.tile(p[:, c], FEATURES), BUCKETS)
-            self.squares[level] += (gradient * gradient) @ _ONES / CLASSES
-            self.w[level] -= RATE * gradient / np.sqrt(self.squares[level])[:, None]
+                sums[level, :, c] -= np.bincount(flat, np.tile(p[:, c], FEATURES), BUCKETS)
+
+    def step(self, sums: np.ndarray, shares: np.ndarray) -> None:
+        """Moves the weights by sums of gradient(). shares: of the outputs of each softmax."""
+        variance = (shares * (1 - shares) + 0.01)[:, None, :]
+        self.w = self.w + np.clip(sums[:, :, :CLASSES] / (CURVED * sums[:, :, CLASSES:] * variance + LEVELLED), -LONGEST, LONGEST).astype(np.float32)
 
     def scores(self, buckets: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """log10 P(class, subclass) of each token."""
@@ -160,39 +167,42 @@ def _batches(texts, words: Words):
         yield held
 
 
-def trained(docs: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights, from docs (text)."""
-    spark, weights = docs.sparkSession, Model().w
-    texts = docs.select("text")
-    tasks = max(1, texts.rdd.getNumPartitions())
+def trained(docs: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights, from docs (doc_id, text). shares: of the outputs of each softmax."""
+    spark, model = docs.sparkSession, Model()
+    dealt = docs.withColumn("round", F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)))
+    # what each task sends has a fixed size, so there are no more of them than keep all cores busy
+    tasks = max(1, min(docs.rdd.getNumPartitions(), 2 * spark.sparkContext.defaultParallelism))
     groups = max(1, math.isqrt(tasks))
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(weights)  # of a fixed size
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast(model.w)  # of a fixed size
 
         def run(batches, sent=sent):
-            model, words, n = Model(sent.value), Words(), 0
-            for batch in batches:
+            own, words, sums, n = Model(sent.value), Words(), np.zeros((2, BUCKETS, CLASSES + 1)), 0
+            for batch in sliced(batches, "text"):
                 for codes in _batches(batch.column("text").cast(pa.binary()).to_pylist(), words):
                     buckets, cells = features(codes)
                     for i in range(0, len(cells), BATCH):
-                        model.update(buckets[:, i : i + BATCH], cells[i : i + BATCH])
+                        own.gradient(buckets[:, i : i + BATCH], cells[i : i + BATCH], sums)
                     n += len(cells)
             if n:
-                flat, task = model.w.reshape(-1, BLOCK), TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(flat)), pa.int32()), "part": pa.array([task % groups] * len(flat), pa.int32()), "n": [n] * len(flat), "w": pa.array([x.tobytes() for x in flat], pa.binary())})
-
-        def mean(group: pd.DataFrame) -> pd.DataFrame:
-            n = group["n"].to_numpy()
-            w = sum(np.frombuffer(x, np.float32) * k for x, k in zip(group["w"], n / n.sum(), strict=True))
-            return pd.DataFrame({"block": group["block"].iloc[:1], "part": group["part"].iloc[:1], "n": [int(n.sum())], "w": [w.astype(np.float32).tobytes()]})
-
-        schema = "block int, part int, n long, w binary"
-        averaged = texts.mapInArrow(run, schema).groupBy("block", "part").applyInPandas(mean, schema).groupBy("block").applyInPandas(mean, schema)
-        rows = written(averaged, "weights").orderBy("block").collect()  # of a fixed size
+                flat, task = sums.astype(np.float32).reshape(-1, BLOCK), TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_pydict({"block": pa.array(range(len(flat)), pa.int32()), "part": pa.array([task % groups] * len(flat), pa.int32()), "sums": pa.array([x.tobytes() for x in flat], pa.binary())})
+
+        def total(group: pd.DataFrame) -> pd.DataFrame:
+            own = np.zeros(BLOCK)
+            for x in group["sums"]:
+                own += np.frombuffer(x, np.float32)
+            return pd.DataFrame({"block": group["block"].iloc[:1], "part": group["part"].iloc[:1], "sums": [own.astype(np.float32).tobytes()]})
+
+        schema = "block int, part int, sums binary"
+        texts = dealt.where(F.col("round") == k).select("text").coalesce(tasks)
+        summed = texts.mapInArrow(run, schema).groupBy("block", "part").applyInPandas(total, schema).groupBy("block").applyInPandas(total, schema)
+        rows = written(summed, "gradient").orderBy("block").collect()  # of a fixed size
         if rows:
-            weights = np.concatenate([np.frombuffer(r.w, np.float32) for r in rows]).reshape(weights.shape).copy()
+            model.step(np.concatenate([np.frombuffer(r.sums, np.float32) for r in rows]).reshape(2, BUCKETS, CLASSES + 1).astype(np.float64), shares)
         sent.destroy()
-    return weights
+    return model.w
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -206,7 +216,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             counts.clear()
             return batch
 
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             for text in batch.column("text").cast(pa.binary()).to_pylist():
                 for w in words_of(text):
                     counts[w] = counts.get(w, 0) + 1
@@ -250,14 +260,18 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, most_known: int = MOST_KNOWN)
         room[r.cell] = r.n + SMOOTHING * (r.v + (r.cell != 0))  # no end is unseen
     base_room = total + SMOOTHING * (distinct + 1)
     known = {bytes(r.word): math.log10(r.n + SMOOTHING) for r in most_frequent(counts, most_known).collect()}
-    weights = trained(learn, rounds)
+    shares = np.zeros((2, CLASSES))
+    for r in sums:
+        shares[0, r.cell // SUBCLASSES] += r.n / total
+        shares[1, r.cell % SUBCLASSES] += r.n / total
+    weights = trained(learn, shares, rounds)
     sent = spark.sparkContext.broadcast((weights, known))
     log_room, log_base = np.log10(room), math.log10(base_room)
 
     def run(batches):
         weights, known = sent.value
         model, words = Model(weights), Words(known)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             out = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 own = words_of(text)

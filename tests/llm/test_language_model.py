@@ -33,7 +33,81 @@ def test_query_against_brute_force_and_held_out_likelihood(spark, small):
     got = lm.query(spark, small).collect()
     same(got, [(r.doc_id, r.text) for r in docs.collect()])
     held = [r for r in got if r.held_out]
-    assert held and sum(r.score for r in held) > sum(r.base_score for r in held)
+    gain = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert held and gain > 0.1  # log10 a token
+
+
+def test_scores_do_not_depend_on_partitions(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    one, many = ({r.doc_id: r.score for r in lm.scored(docs.repartition(n)).collect()} for n in (1, 7))
+    assert one.keys() == many.keys()
+    for k, v in one.items():
+        assert math.isclose(v, many[k], rel_tol=1e-4)
+
+
+def plain_scores(rows, deal):
+    """log10 probabilities by loops over tokens. deal: doc_id -> round"""
+    wrap = (1 << 64) - 1
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    texts = {d: [*(w.encode() for w in t.lower().split()), b" "] for d, t in rows}
+
+    def events(words):
+        before = [0, 0, 0]
+        for w in words:
+            one, two, three = before
+            raw = [one, (one * 0x9E3779B97F4A7C15 & wrap) ^ two, two + (1 << 40), three + (1 << 41)]
+            mixed = [((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & wrap) >> 49 for x in raw]
+            cell = lm.cell(w)
+            yield w, cell, (mixed, [(b * 31 + cell // 16 * 2053 + 7) % lm.BUCKETS for b in mixed]), (cell // 16, cell % 16)
+            before = [zlib.crc32(w), one, two]
+
+    counts = Counter(w for d, ws in texts.items() if not held(d) for w in ws)
+    total, shares, room = sum(counts.values()), np.zeros((2, 16)), Counter()
+    for w, n in counts.items():
+        shares[0, lm.cell(w) // 16] += n / total
+        shares[1, lm.cell(w) % 16] += n / total
+        room[lm.cell(w)] += n + 0.1
+    weights = {}
+
+    def chances(level, buckets):
+        z = sum((weights.get((level, b), np.zeros(16)) for b in buckets), np.zeros(16))
+        e = np.exp(np.clip(z, -40, 40))
+        return e / e.sum()
+
+    for k in range(lm.ROUNDS):
+        sums, n = {}, Counter()
+        for d, ws in texts.items():
+            if not held(d) and deal[d] == k:
+                for _, _, at, wanted in events(ws):
+                    for level in (0, 1):
+                        g = -chances(level, at[level])
+                        g[wanted[level]] += 1
+                        for b in at[level]:
+                            sums[level, b] = sums.get((level, b), 0) + g
+                            n[level, b] += 1
+        for (level, b), g in sums.items():
+            move = g / (lm.CURVED * n[level, b] * (shares[level] * (1 - shares[level]) + 0.01) + lm.LEVELLED)
+            weights[level, b] = weights.get((level, b), np.zeros(16)) + np.clip(move, -lm.LONGEST, lm.LONGEST)
+    out = {}
+    for d, ws in texts.items():
+        out[d] = 0.0
+        for w, cell, at, wanted in events(ws):
+            out[d] += math.log10(chances(0, at[0])[wanted[0]]) + (math.log10(chances(1, at[1])[wanted[1]]) if cell else 0.0)
+            out[d] += math.log10(counts[w] + 0.1) - math.log10(room[cell] + 0.1 * (cell != 0) if cell in room else 0.1)
+    return out
+
+
+def test_scores_against_loops(spark):
+    rng = np.random.default_rng(3)
+    words = ["the", "a", "cat", "dog", "sat", "ran", "on", "mat", "Tree", "x1", "longer", "words"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    deal = {r.doc_id: r.k for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(lm.ROUNDS)).alias("k")).collect()}
+    expected = plain_scores(rows, deal)
+    for r in lm.scored(docs).collect():
+        assert math.isclose(r.score, expected[r.doc_id], rel_tol=1e-4), r.doc_id
 
 
 def test_words_beyond_the_table_are_looked_up(spark, odd_docs, no_docs):
