@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recordspark.storage import checkpoints
+
 #: Named formats.
 FORMATS = {
     "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
@@ -26,9 +28,15 @@ FORMATS = {
     "date-iso": r"^\d{4}-\d{2}-\d{2}$",
     "naic": r"^\d{5}$",
     "fein": r"^\d{2}-?\d{7}$",
-    "currency-code": r"^[A-Z]{3}$",
-    "country-alpha2": r"^[A-Z]{2}$",
-    "country-alpha3": r"^[A-Z]{3}$",
+}
+#: Codes that named formats know.
+KNOWN = {
+    "currency-code": """AED ARS AUD BDT BGN BHD BRL CAD CHF CLP CNY COP CZK DKK EGP EUR GBP GHS HKD HRK HUF IDR ILS INR ISK JOD JPY KES KRW KWD
+LBP MAD MXN MYR NGN NOK NZD OMR PEN PHP PKR PLN QAR RON RUB SAR SEK SGD THB TRY TWD TZS UAH UGX USD VND ZAR""".split(),
+    "country-alpha2": """AE AR AT AU BD BE BG BH BR CA CH CL CN CO CY CZ DE DK EG ES FI FR GB GH GR HK HR HU ID IE IL IN IS IT JO JP KE KR KW LB
+MA MX MY NG NL NO NZ OM PE PH PK PL PT QA RO RU SA SE SG TH TR TW TZ UA UG US VN ZA""".split(),
+    "country-alpha3": """ARE ARG AUS AUT BEL BGD BGR BHR BRA CAN CHE CHL CHN COL CYP CZE DEU DNK EGY ESP FIN FRA GBR GHA GRC HKG HRV HUN IDN IND
+IRL ISL ISR ITA JOR JPN KEN KOR KWT LBN MAR MEX MYS NGA NLD NOR NZL OMN PAK PER PHL POL PRT QAT ROU RUS SAU SGP SWE THA TUR TWN TZA UGA UKR USA VNM ZAF""".split(),
 }
 #: States, district and territories.
 STATES = """AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC
@@ -42,6 +50,8 @@ CODES = {
 }
 #: The tolerance of = and != in invariants.
 TOLERANCE = 0.001
+#: Limits of patterns (characters, depth, quantifiers).
+PATTERN_LIMITS = (1024, 10, 20)
 CASTS = {"integer": "bigint", "number": "double", "currency": "double", "percent": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp"}
 
 
@@ -49,9 +59,9 @@ def matches_format(c: Column, name: str) -> Column:
     s = c.cast("string")
     if name == "creditcard":
         digits = F.regexp_replace(s, "[ -]", "")
-        return digits.rlike(r"^\d{13,19}$") & F.luhn_check(digits)
-    if name == "state-us":
-        return s.isin(STATES)
+        return digits.rlike(r"^\d{13,19}$") & F.call_function("luhn_check", digits)
+    if name == "state-us" or name in KNOWN:
+        return s.isin(STATES if name == "state-us" else KNOWN[name])
     if name == "date-iso":
         return s.rlike(FORMATS[name]) & F.try_to_date(s).isNotNull()
     if name == "ssn":
@@ -59,9 +69,31 @@ def matches_format(c: Column, name: str) -> Column:
     return s.rlike(FORMATS[name])
 
 
+def risky(pattern: str) -> str | None:
+    """Why a pattern may take very long, or None: too long, too deep, too many quantifiers, or a repeated group that repeats inside."""
+    bare = re.sub(r"\\.|\[(?:[^\]\\]|\\.)*\]", "x", pattern)
+    depth = most = 0
+    repeats, quantifiers = [False], len(re.findall(r"[*+?]|\{\d", bare))
+    for i, c in enumerate(bare):
+        if c == "(":
+            depth += 1
+            most = max(most, depth)
+            repeats.append(False)
+        elif c == ")" and depth:
+            depth -= 1
+            inner = repeats.pop()
+            if inner and bare[i + 1 : i + 2] in ("*", "+", "{"):
+                return "a repeated group repeats inside"
+            repeats[-1] |= inner
+        elif c in "*+" or re.match(r"\{\d+,", bare[i:]):
+            repeats[-1] = True
+    length, deep, many = PATTERN_LIMITS
+    return "too long" if len(pattern) > length else "too deep" if most > deep else "too many quantifiers" if quantifiers > many else None
+
+
 @dataclass
 class Field:
-    """A field's type and constraints. when: (field, operator, value) clauses, any of which makes it required."""
+    """A field's type (several with | between: any of them) and constraints. when: (field, operator, value) clauses, any of which makes it required."""
 
     path: str
     type: str = "string"
@@ -87,6 +119,9 @@ class Schema:
     #: (fields, least, most) present ones
     cardinality: list[tuple] = field(default_factory=list)
     strict: bool = False
+    #: named types, and of a type the names of those that it extends
+    types: dict[str, Schema] = field(default_factory=dict)
+    parents: list[str] = field(default_factory=list)
 
     def extended(self, *parents: Schema) -> Schema:
         """With the parents' fields; those of the same path are overridden."""
@@ -118,6 +153,14 @@ def invariant(text: str) -> Column:
     return ~(COMPARE[op](a, b) if held is None else held)
 
 
+def _fits(c: Column, name: str, kind: T.DataType) -> Column | None:
+    """Is a value of that type? None: all are."""
+    if name not in CASTS:
+        return None
+    whole = (c == F.floor(c)) if name == "integer" and isinstance(kind, (T.DoubleType, T.FloatType)) else F.lit(True)
+    return c.try_cast(CASTS[name]).isNotNull() & whole
+
+
 def _checks(f: Field, kind: T.DataType):
     c = F.col(f.path)
     if f.required and not f.when and not f.unless:
@@ -133,10 +176,9 @@ def _checks(f: Field, kind: T.DataType):
         if f.unique:
             yield "V007", F.size(c) != F.size(F.array_distinct(c))
         return
-    if f.type in CASTS:
-        yield "V002", c.isNotNull() & c.try_cast(CASTS[f.type]).isNull()
-        if f.type == "integer" and isinstance(kind, (T.DoubleType, T.FloatType)):
-            yield "V002", c != F.floor(c)
+    fits = [_fits(c, x, kind) for x in f.type.split("|")]
+    if all(x is not None for x in fits):
+        yield "V002", c.isNotNull() & ~reduce(lambda a, b: a | b, fits)
     if f.low is not None or f.high is not None:
         v = c.try_cast("double") if f.type in ("integer", "number", "currency", "percent") else F.octet_length(c) if f.type == "binary" else F.length(c.cast("string"))
         out = []
@@ -146,6 +188,8 @@ def _checks(f: Field, kind: T.DataType):
             out.append(v >= f.high if f.exclusive else v > f.high)
         yield "V003", reduce(lambda a, b: a | b, out)
     if f.pattern:
+        if why := risky(f.pattern):
+            raise ValueError(f"{f.path}: pattern {f.pattern!r}: {why}")
         yield "V004", ~F.rlike(c.cast("string"), F.lit(f.pattern))
     if f.format:
         yield "V004", ~matches_format(c, f.format)
@@ -153,6 +197,15 @@ def _checks(f: Field, kind: T.DataType):
         yield "V005", ~c.cast("string").isin([str(x) for x in f.enum])
 
 
+def _leaf_paths(schema: T.StructType, above: str = ""):
+    for f in schema.fields:
+        path = f"{above}.{f.name}" if above else f.name
+        if isinstance(f.dataType, T.StructType):
+            yield from _leaf_paths(f.dataType, path)
+        else:
+            yield path
+
+
 def with_violations(df: DataFrame, schema: Schema, out: str = "_violations") -> DataFrame:
     """df with an array of structs (code, path) for each row."""
     found, kinds = [], {}
@@ -172,8 +225,8 @@ def with_violations(df: DataFrame, schema: Schema, out: str = "_violations") ->
         present = reduce(lambda a, b: a + b, [F.when(F.col(x).isNotNull(), 1).otherwise(0) for x in fields])
         found.append(F.when(~present.between(least, most), struct("V009", ",".join(fields))))
     if schema.strict:
-        known = {f.path.split(".")[0] for f in schema.fields}
-        found += [struct("V011", c) for c in df.columns if c not in known]
+        known = {f.path for f in schema.fields}
+        found += [struct("V011", p) for p in _leaf_paths(df.schema) if not any(p == k or p.startswith(k + ".") for k in known)]
     array = F.array(*found) if found else F.array().cast("array<struct<code:string,path:string>>")
     return df.withColumn(out, F.filter(array, lambda x: x.isNotNull()))
 
@@ -196,13 +249,20 @@ def unresolved(df: DataFrame, key: str, reference: str, targets: DataFrame, targ
 
 
 def circular(edges: DataFrame, source: str, target: str) -> DataFrame:
-    """V012: nodes on a cycle of references, each node having one target at most. Each round doubles the way gone."""
-    now = edges.select(F.col(source).alias("n"), F.col(target).alias("t")).where("t is not null").distinct()
-    # ends that a doubling doesn't lessen are mapped onto themselves: all of them are on cycles, chains and tails are gone
-    ends, before = now.select("t").distinct().count(), None
-    while ends != before:
-        before = ends
-        now = now.join(now.toDF("m", "t2"), F.col("t") == F.col("m")).select("n", F.col("t2").alias("t")).distinct().localCheckpoint()
-        ends = now.select("t").distinct().count()
-    on = now.select(F.col("t").alias("node")).distinct()  # where endless ways end is on a cycle
-    return on.select("node", F.lit("V012").alias("code"), F.lit(CODES["V012"]).alias("message"))
+    """V012: nodes on a cycle of references, whatever number of targets a node has.
+
+    Nodes without a way in or a way out are on none and go, a few rounds long. For the rest, ways double in length until
+    no new pair of ends comes: at most as often as the longest way can be halved. A node that reaches itself is on a cycle."""
+    checkpoints(edges.sparkSession)
+    now = edges.select(F.col(source).alias("n"), F.col(target).alias("t")).where("n is not null and t is not null").distinct()
+    for _ in range(4):
+        inner = now.join(now.select(F.col("n").alias("m")).distinct(), F.col("t") == F.col("m"), "left_semi")
+        now = inner.join(inner.select(F.col("t").alias("m")).distinct(), F.col("n") == F.col("m"), "left_semi")
+    now = now.checkpoint()
+    pairs, before = now.count(), -1
+    while pairs != before:
+        before = pairs
+        further = now.join(now.toDF("m", "t2"), F.col("t") == F.col("m")).select("n", F.col("t2").alias("t"))
+        now = now.union(further).distinct().checkpoint()
+        pairs = now.count()
+    return now.where("n = t").select(F.col("n").alias("node"), F.lit("V012").alias("code"), F.lit(CODES["V012"]).alias("message"))

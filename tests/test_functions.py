@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recordspark.functions import VERBS, call, register
-from recordspark.operators import documents, frames, mapping, validation
+from recordspark.operators import documents, frames, mapping, schema_text, validation
 from recordspark.sources import formats
 from recordspark.streaming import windows
 
@@ -93,6 +93,73 @@ def test_violations(spark):
     assert found == sorted([(1, "V001", "gone"), (2, "V001", "gone"), (2, "V001", "gone"), (1, "V007", "xs"), (2, "V004", "mail"), (2, "V006", "xs"), (2, "V001", "mail"), (2, "V007", "id"), (2, "V007", "id")])
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("d", "e")], "n string, t string")
     assert {r.node for r in validation.circular(edges, "n", "t").collect()} == {"b", "c"}
+    many = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a"), ("c", "d"), *((f"x{i}", f"x{i + 1}") for i in range(300)), ("p", "q"), ("q", "r"), ("r", "p"), ("r", "s"), ("z", "z")], "n string, t string")
+    assert {r.node for r in validation.circular(many, "n", "t").collect()} == {"a", "b", "p", "q", "r", "z"}
+
+
+SCHEMA_TEXT = """
+; people
+{$}
+strict = true
+@Address
+city = !""
+zip = "" :format zip
+@Home : Address
+since = date
+{Person}
+name = !"" :(1..40)
+age = ##:(0..150)
+score = # | ""
+kind = (one, two)
+code = :/^[A-Z]{3}$/
+home = @Home
+phone = "" :if kind = one
+:invariant age >= 0
+:exactly_one (name, phone)
+:of (1..) (age, kind)
+{Person.tags[]}
+:(1..5) :unique
+"""
+
+
+def test_schema_text(spark):
+    schema = schema_text.parse_schema(SCHEMA_TEXT)
+    assert schema.strict and schema.types["Home"].parents == ["Address"]
+    by = {f.path: f for f in schema.fields}
+    assert by["Person.name"].required and (by["Person.age"].low, by["Person.age"].high) == (0, 150) and by["Person.kind"].enum == ["one", "two"]
+    assert by["Person.score"].type == "number|string" and by["Person.phone"].when == [("Person.kind", "=", "one")] and by["Person.code"].pattern == "^[A-Z]{3}$"
+    assert by["Person.tags"].unique and by["Person.tags"].max_items == 5 and schema.cardinality[0] == (["Person.name", "Person.phone"], 1, 1)
+    assert schema_text.parse_schema(schema_text.schema_text(schema)) == schema
+    flat = {f.path for f in schema_text.flattened(schema).fields}
+    assert {"Person.home.city", "Person.home.zip", "Person.home.since"} <= flat
+    rows = [(1, ("Ann", 30, "one", "ABC", ("X", "12345", None), "123", ["a"])), (2, (None, -1, "three", "abc", (None, "1", None), None, ["a", "a"])), (3, ("Bob", 3, "one", "ABC", ("Y", "12345", None), None, []))]
+    df = spark.createDataFrame(rows, "id long, Person struct<name string, age int, kind string, code string, home struct<city string, zip string, extra string>, phone string, tags array<string>>")
+    found = sorted((r.id, r.code, r.path) for r in validation.violations(df, schema_text.flattened(schema), "id").collect())
+    strict = [(i, "V011", p) for i in (1, 2, 3) for p in ("id", "Person.home.extra")]
+    assert found == sorted([*strict, (1, "V009", "Person.name,Person.phone"), (2, "V001", "Person.name"), (2, "V003", "Person.age"), (2, "V005", "Person.kind"), (2, "V004", "Person.code"), (2, "V004", "Person.home.zip"), (2, "V008", "Person.age >= 0"),
+        (2, "V009", "Person.name,Person.phone"), (2, "V007", "Person.tags"), (3, "V010", "Person.phone"), (3, "V006", "Person.tags")])
+
+
+def test_schema_imports():
+    files = {"a": "@import b as x\n@Own : x.Base\nown = ##", "b": "@Base\nid = !##", "c": "@import d", "d": "@import c"}
+    schema = schema_text.parse_schema("@import a\n{T}\nv = @Own", files.__getitem__)
+    assert set(schema.types) == {"x.Base", "Own"} and [f.path for f in schema_text.flattened(schema).fields] == ["T.v.id", "T.v.own"]
+    with pytest.raises(ValueError, match="circle"):
+        schema_text.parse_schema("@import c", files.__getitem__)
+    with pytest.raises(ValueError, match="within itself"):
+        schema_text.flattened(schema_text.parse_schema("@A\nx = @A\n{T}\na = @A"))
+    with pytest.raises(ValueError, match="isn't known"):
+        schema_text.flattened(schema_text.parse_schema("{T}\na = @Nope"))
+
+
+def test_formats_and_patterns(spark):
+    good = {"currency-code": "EUR", "country-alpha2": "DE", "country-alpha3": "DEU", "state-us": "TX", "email": "a@b.co", "url": "https://a.b/c", "uuid": "123e4567-e89b-12d3-a456-426614174000", "ssn": "123-45-6789", "vin": "1HGCM82633A004352", "phone": "+1 (555) 123-4567",
+        "zip": "12345-6789", "ipv4": "192.168.0.1", "ipv6": "2001:db8::1", "creditcard": "4111 1111 1111 1111", "date-iso": "2024-02-29", "naic": "12345", "fein": "12-3456789"}
+    bad = {"currency-code": "ZZZ", "country-alpha2": "QQ", "country-alpha3": "QQQ", "state-us": "ZZ", "email": "a.b", "url": "ftp:/x", "uuid": "123", "ssn": "000-45-6789", "vin": "IOQ", "phone": "12", "zip": "1234", "ipv4": "256.1.1.1", "ipv6": "1::2::3", "creditcard": "4111111111111112",
+        "date-iso": "2023-02-29", "naic": "1", "fein": "1"}
+    row = spark.range(1).select(*(validation.matches_format(F.lit(v), k).alias(f"good {k}") for k, v in good.items()), *(validation.matches_format(F.lit(v), k).alias(f"bad {k}") for k, v in bad.items())).first().asDict()
+    assert len(good) == 17 and {k for k, v in row.items() if v != k.startswith("good")} == set()
+    assert validation.risky("(a+)+b") and validation.risky("a" * 2000) and validation.risky("(" * 11 + ")" * 11) and not validation.risky(r"^Customer#\d+$")
 
 
 def test_moves_and_patches(spark):
