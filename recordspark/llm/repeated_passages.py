@@ -8,8 +8,8 @@ that they cover are its stretch.
 1. Documents are gathered in chunks of CHUNK bytes (one document, if it is longer), with which all goes on.
 2. Chunks send the distinct hashes of their anchors, five bytes each, to parts of the range of hashes, and learn which of
    them another document may have too. (A hash's head may be another one's: such a place is just looked at.)
-3. The places of these anchors are told apart by hashes of their stretches. Equal stretches are one, with the least
-   doc_id that has it, summed up before and after the shuffle, however many documents there are.
+3. The places of these anchors meet by anchor, and are told apart by hashes of their stretches. A document has few places
+   of one anchor, so none has more than a small share of the rows. Equal stretches are one, with the least doc_id.
 4. An anchor with a single stretch is settled: each of its windows has the stretch's least doc_id. The stretches of
    other anchors come to shards, once each. A shard gets a suffix array by induced sorting and the permuted common
    prefixes (suffix_arrays.py); neighbours in it that share `least` bytes are equal windows, and the least doc_id among
@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recordspark.llm.common import Steps, sliced
@@ -227,11 +227,18 @@ def shared_places(parts: DataFrame, answers: DataFrame, log_parts: int, least: i
     return parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, PLACES)
 
 
-def stretches(places: DataFrame) -> DataFrame:
-    """h, k, lo, hi (least and greatest doc_id), chunk, at, n (of one place), several (has the anchor others?) of each stretch."""
-    each = places.groupBy("h", "k").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("chunk").alias("chunk"), F.min_by("at", "chunk").alias("at"), F.min("n").alias("n"))
-    several = each.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a < b").select(F.col("h").alias("_h"))
-    return each.join(several, F.col("h") == F.col("_h"), "left").withColumn("several", F.col("_h").isNotNull()).drop("_h").where("several or lo < hi")
+def compared(places: DataFrame) -> DataFrame:
+    """Places that may lose something or are needed to tell: chunk, at, n, doc, lo (the least doc_id with that stretch),
+    several (has the anchor other stretches?), and only then h and k. One shuffle and one sort."""
+    same, anchor = Window.partitionBy("h", "k"), Window.partitionBy("h")
+    rows = places.repartition("h").withColumn("lo", F.min("doc").over(same)).withColumn("several", F.min("k").over(anchor) < F.max("k").over(anchor))
+    rows = rows.where("several or lo < doc")
+    return rows.select("chunk", "at", "n", "doc", "lo", "several", *(F.when(F.col("several"), F.col(c)).alias(c) for c in ("h", "k")))
+
+
+def stretches(contested: DataFrame) -> DataFrame:
+    """h, k, lo, hi (least and greatest doc_id), chunk, at, n (of one place) of each stretch."""
+    return contested.groupBy("h", "k").agg(F.min("lo").alias("lo"), F.max("doc").alias("hi"), F.min("chunk").alias("chunk"), F.min_by("at", "chunk").alias("at"), F.min("n").alias("n"))
 
 
 def contents(parts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -363,16 +370,14 @@ def without_repeats(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHAR
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     log_parts = max(1, min(64 - BITS, (size // PART).bit_length()))
     answers = steps.write("answers", answered(asked(parts, log_parts, least)))
-    places = steps.write("places", shared_places(parts, answers, log_parts, least))
-    found = steps.write("stretches", stretches(places))
-    texts = steps.write("contents", contents(parts, found.where("several"), least))
-    single = found.where("not several").select("h", "k", "lo", F.lit(None).cast("binary").alias("minima"))
-    sorted_out = least_documents(texts, least, shard_bytes, shard_stretches, steps).select("h", "k", F.lit(None).cast("long").alias("lo"), "minima")
-    low = steps.write("least-documents", single.unionByName(sorted_out))
-    steps.drop("answers", "stretches", "contents")
-    marks = places.join(low, ["h", "k"]).where("minima is not null or lo < doc").select("chunk", "at", "n", "doc", "minima")
-    marks = steps.write("marks", marks)
-    steps.drop("places", "least-documents")
+    judged = steps.write("compared", compared(shared_places(parts, answers, log_parts, least)))
+    steps.drop("answers")
+    contested = judged.where("several")
+    texts = steps.write("contents", contents(parts, stretches(contested), least))
+    low = steps.write("least-documents", least_documents(texts, least, shard_bytes, shard_stretches, steps))
+    steps.drop("contents")
+    settled = judged.where("not several").select("chunk", "at", "n", "doc", F.lit(None).cast("binary").alias("minima"))
+    marks = settled.unionByName(contested.join(low, ["h", "k"]).select("chunk", "at", "n", "doc", "minima"))
 
     def run(chunk: pa.Table, own: pa.Table) -> pa.Table:
         return pa.concat_tables([cut(Chunk(row), own, least) for row in chunk.to_pylist()])
