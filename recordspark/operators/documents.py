@@ -62,3 +62,40 @@ def patch(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     gone = changes.where("op in ('removed', 'changed')").select(key, "path").unionByName(changes.where("op = 'moved'").select(key, F.col("from_path").alias("path")))
     put = changes.where("op <> 'removed'").select(key, "path", F.col("new").alias("value"))
     return old.select(key, "path", "value").join(gone, [key, "path"], "left_anti").unionByName(put)
+
+
+def typed_assignments(df: DataFrame, key: str) -> DataFrame:
+    """key, path, type, value, modifiers of each scalar field; modifiers are what its column's metadata has as true."""
+    kinds = {"tinyint": "integer", "smallint": "integer", "int": "integer", "bigint": "integer", "float": "number", "double": "number", "timestamp_ntz": "timestamp"}
+    flat: dict[str, T.StructField] = {}
+
+    def walk(schema: T.StructType, above: str = "") -> None:
+        for f in schema.fields:
+            path = f"{above}.{f.name}" if above else f.name
+            flat[path] = f
+            if isinstance(f.dataType, T.StructType):
+                walk(f.dataType, path)
+
+    walk(df.schema)
+    parts = []
+    for path, c in leaves(df.schema):
+        if path != key:
+            name, own = flat[path].dataType.simpleString(), sorted(k for k, x in (flat[path].metadata or {}).items() if x is True)
+            parts.append(F.struct(F.lit(path).alias("path"), F.lit(kinds.get(name, name)).alias("type"), c.alias("value"), F.array(*map(F.lit, own)).cast("array<string>").alias("modifiers")))
+    return df.select(key, F.explode(F.array(*parts)).alias("a")).select(key, "a.*").where("value is not null")
+
+
+def typed_difference(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """key, op, path, old, new, old_type, new_type between typed assignments: added, removed, changed (another type or
+    value), modified (the same, with other modifiers)."""
+    a, b = (x.select(key, "path", *(F.col(c).alias(f"{side}_{c}") for c in ("type", "value", "modifiers"))) for x, side in ((old, "old"), (new, "new")))
+    both = a.join(b, [key, "path"], "full")
+    same = F.col("old_type").eqNullSafe(F.col("new_type")) & F.col("old_value").eqNullSafe(F.col("new_value"))
+    op = F.when(F.col("old_type").isNull(), "added").when(F.col("new_type").isNull(), "removed").when(~same, "changed").when(~F.col("old_modifiers").eqNullSafe(F.col("new_modifiers")), "modified")
+    return both.select(key, op.alias("op"), "path", F.col("old_value").alias("old"), F.col("new_value").alias("new"), "old_type", "new_type").where("op is not null")
+
+
+def patch_errors(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """key, path, message of changes that patch() can't do as they are: what they remove, change or move isn't there."""
+    needed = changes.where("op <> 'added'").select(key, F.when(F.col("op") == "moved", F.col("from_path")).otherwise(F.col("path")).alias("path"))
+    return needed.join(old.select(key, "path"), [key, "path"], "left_anti").withColumn("message", F.lit("no such path"))

@@ -255,10 +255,9 @@ def circular(edges: DataFrame, source: str, target: str) -> DataFrame:
     no new pair of ends comes: at most as often as the longest way can be halved. A node that reaches itself is on a cycle."""
     checkpoints(edges.sparkSession)
     now = edges.select(F.col(source).alias("n"), F.col(target).alias("t")).where("n is not null and t is not null").distinct()
-    for _ in range(4):
-        inner = now.join(now.select(F.col("n").alias("m")).distinct(), F.col("t") == F.col("m"), "left_semi")
-        now = inner.join(inner.select(F.col("t").alias("m")).distinct(), F.col("n") == F.col("m"), "left_semi")
-    now = now.checkpoint()
+    for _ in range(2):
+        inner = now.join(now.select(F.col("n").alias("m")).distinct(), F.col("t") == F.col("m"), "left_semi").checkpoint()
+        now = inner.join(inner.select(F.col("t").alias("m")).distinct(), F.col("n") == F.col("m"), "left_semi").checkpoint()
     pairs, before = now.count(), -1
     while pairs != before:
         before = pairs

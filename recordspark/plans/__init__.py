@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordspark.plans import relations, values, verbs  # noqa: F401  (verbs registers its queries)
+from recordspark.plans import relations, tables, values, verbs  # noqa: F401  (each registers its queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
