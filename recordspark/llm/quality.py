@@ -103,11 +103,15 @@ def beta_prior(n: int, hosts: int, squares: int, failures: int, weighted_squares
     return p * size, (1 - p) * size
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """row (all columns of docs, in a struct), stats, base_failed, kept. docs: text and source, besides any others."""
+def judged(docs: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """row (all columns of docs, in a struct), stats, base_failed, kept. docs: text and source, besides any others.
+
+    With `keep`, row has only these columns, and the measures are written beside them; else texts are measured twice,
+    for hosts and for verdicts, which takes less than another copy of all rows."""
     steps = Steps(docs.sparkSession)
-    rows = steps.write("quality", docs.select(whole_row(docs), "source", stats_of("text").alias("stats")))
-    verdicts = host_verdicts(rows, steps)
+    rows = docs.select(whole_row(docs.select(*keep) if keep else docs), "source", stats_of("text").alias("stats"))
+    rows = steps.write("quality", rows) if keep else rows
+    verdicts = host_verdicts(rows.select("source", "stats"), steps)
     held = F.lit(False)
     for k, rule in RULES.items():
         held = held | (F.coalesce(F.col(f"bad_{k}"), F.lit(False)) & rule(F.col("stats")))
@@ -117,7 +121,7 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = judged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    out = judged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), ("doc_id",))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return out.select("row.doc_id", *(F.col(f"stats.{x}") for x in names), "base_failed", "kept")
 

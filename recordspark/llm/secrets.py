@@ -232,7 +232,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with `mark` in the place of each secret of `text`; spans that overlap count as one."""
-    scans = written(scanned(docs.select(whole_row(docs), "text")), "secrets")
+    scans = written(scanned(docs.select(whole_row(docs), "text")).drop("text"), "secrets")
     spans = all_spans(thresholds(scans))
     # from the end on, so that positions hold; [start, end] of what is merged so far comes first
     merged = F.aggregate(
@@ -241,9 +241,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             F.concat(F.array(F.struct(F.get(done, F.lit(0))["start"].alias("start"), F.greatest(F.get(done, F.lit(0))["end"], s["end"]).alias("end"))), F.slice(done, F.lit(2), F.greatest(F.size(done) - 1, F.lit(0)))))
         .otherwise(F.concat(F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))), done)),
     )
-    clean = F.aggregate("merged", F.col("text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mark), F.substring(t, s["end"] + 1, F.lit(2147483647))))
-    own = scans.select("row", "text", spans.alias("spans")).withColumn("merged", merged)
-    text = F.when(F.size("merged") > 0, clean).otherwise(F.col("text")).alias("text")
+    clean = F.aggregate("merged", F.col("row.text"), lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), F.lit(mark), F.substring(t, s["end"] + 1, F.lit(2147483647))))
+    own = scans.select("row", spans.alias("spans")).withColumn("merged", merged)
+    text = F.when(F.size("merged") > 0, clean).otherwise(F.col("row.text")).alias("text")
     return own.select(*(text if c == "text" else F.col("row.`" + c.replace("`", "``") + "`") for c in docs.columns))
 
 
