@@ -51,6 +51,19 @@ def test_recall_and_precision(spark):
     assert np.mean([out[i] == right[i] for i in out]) > 0.98
 
 
+def test_recall_with_many_lists_and_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(el, "LIST_SIZE", 10)  # some 300 lists
+    r = np.random.default_rng(2)
+    axes, middles = r.normal(size=(6, 48)), r.normal(size=(40, 6)) * 2
+    base = np.concatenate([(m + r.normal(size=(50, 6)) * 0.6) @ axes + r.normal(size=(50, 48)) * 0.02 for m in middles])
+    rows = [*base.tolist(), *(near(r, base[i], c).tolist() for c in (0.99, 0.955) for i in range(0, 2000, 4))]
+    rows = [(int(k), np.float32(rows[i]).tolist()) for k, i in enumerate(r.permutation(len(rows)))]
+    out, right = result(el.linked_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))), brute(rows)
+    found, there = sum(v[0] for v in out.values()), sum(v[0] for v in right.values())
+    assert there > 10_000 and found >= 0.99 * there and all(out[i][0] <= right[i][0] for i in out)
+    assert np.mean([out[i][1] == right[i][1] for i in out]) > 0.98
+
+
 def test_odd_vectors(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0, 0.0]), (10, [1.0, 0.01]), (11, [0.0, 1.0])]
