@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -99,7 +100,7 @@ def features(codes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     # what lies before a text's start is 0
     mixed = np.stack([one, one * np.uint64(0x9E3779B97F4A7C15) ^ two, two + np.uint64(1 << 40), three + np.uint64(1 << 41)])
     mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (mixed >> np.uint64(64 - 15)).astype(np.int32) % BUCKETS, (flat[i] & 255).astype(np.int32)
+    return (mixed >> np.uint64(64 - 15)).astype(np.int32), (flat[i] & 255).astype(np.int32)
 
 
 #: Logits stay within this, so that exp() needs no look at the largest of each row.
@@ -116,7 +117,7 @@ class Model:
     def logits(self, buckets: np.ndarray, cells: np.ndarray):
         """For each softmax: buckets (a row for each feature), wanted output, logits, exp(logits) and their sums."""
         classes = cells // SUBCLASSES
-        for level, (at, wanted) in enumerate(((buckets, classes), ((buckets * 31 + classes * 2053 + 7) % BUCKETS, cells % SUBCLASSES))):
+        for level, (at, wanted) in enumerate(((buckets, classes), ((buckets * 31 + classes * 2053 + 7) & (BUCKETS - 1), cells % SUBCLASSES))):
             total = self.w[level].take(at[0], 0)
             for k in range(1, FEATURES):
                 total += self.w[level].take(at[k], 0)
@@ -126,14 +127,14 @@ class Model:
 
     def gradient(self, buckets: np.ndarray, cells: np.ndarray, sums: np.ndarray) -> None:
         """Adds to sums, for each softmax and bucket: wanted less expected outputs, and, last, how many tokens have the bucket."""
+        n = np.arange(len(cells))
         for level, (at, wanted, _, p, total) in enumerate(self.logits(buckets, cells)):
-            p /= total[:, None]
-            flat = at.ravel().astype(np.int64)
-            own = np.bincount(flat * CLASSES + np.tile(wanted, FEATURES), minlength=BUCKETS * CLASSES).reshape(BUCKETS, CLASSES)
-            sums[level, :, :CLASSES] += own
-            sums[level, :, CLASSES] += own.sum(1)
+            p /= -total[:, None]
+            p[n, wanted] += 1
+            flat, by_output = at.ravel(), p.T.astype(np.float64)
             for c in range(CLASSES):
-                sums[level, :, c] -= np.bincount(flat, np.tile(p[:, c], FEATURES), BUCKETS)
+                sums[level, :, c] += np.bincount(flat, np.tile(by_output[c], FEATURES), BUCKETS)
+            sums[level, :, CLASSES] += np.bincount(flat, minlength=BUCKETS)
 
     def step(self, sums: np.ndarray, shares: np.ndarray) -> None:
         """Moves the weights by sums of gradient(). shares: of the outputs of each softmax."""
@@ -209,7 +210,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """word (binary), n, cell, from docs (text). Tasks sum up what they read first."""
 
     def run(batches):
-        counts: dict[bytes, int] = {}
+        counts: Counter = Counter()
 
         def out():
             batch = pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())})
@@ -218,8 +219,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
         for batch in sliced(batches, "text"):
             for text in batch.column("text").cast(pa.binary()).to_pylist():
-                for w in words_of(text):
-                    counts[w] = counts.get(w, 0) + 1
+                counts.update(words_of(text))
             if len(counts) > 500_000:
                 yield out()
         if counts:
@@ -279,18 +279,17 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, most_known: int = MOST_KNOWN)
                 numbers = words.numbers(own)
                 logs = words.logs[numbers]
                 missing = np.isnan(logs)
-                rare: dict[bytes, int] = {}
-                for i in np.flatnonzero(missing).tolist():
-                    rare[own[i]] = rare.get(own[i], 0) + 1
+                rare = Counter([own[i] for i in np.flatnonzero(missing).tolist()])
                 found = logs[~missing]
                 out.append((doc, len(own), len(found), math.fsum(found.tolist()), words.codes[numbers], rare))
             for some in _parts(out):
                 buckets, cells = features([x[4] for x in some])
                 token = np.concatenate([model.scores(buckets[:, i : i + BATCH], cells[i : i + BATCH]) for i in range(0, len(cells), BATCH)]) - log_room[cells]
                 scores = np.add.reduceat(token, np.cumsum([0, *[x[1] for x in some[:-1]]]))
-                entries = [[{"word": w, "tf": k} for w, k in x[5].items()] for x in some]
+                entries = pa.StructArray.from_arrays([pa.array([w for x in some for w in x[5]], pa.binary()), pa.array([k for x in some for k in x[5].values()], pa.int64())], ["word", "tf"])
+                entries = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(x[5]) for x in some]]), pa.int32()), entries)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in some], pa.int64()), *(pa.array([x[i] for x in some], k) for i, k in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))), pa.array(scores), pa.array(entries, pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])))],
+                    [pa.array([x[0] for x in some], pa.int64()), *(pa.array([x[i] for x in some], k) for i, k in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))), pa.array(scores), entries],
                     ["doc_id", "n_tokens", "n_found", "found", "cells", "rare"],
                 )
 
