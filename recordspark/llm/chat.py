@@ -8,12 +8,14 @@ A turn over a quarter of the budget has a window of its own; only such a turn, i
 history leave, takes a window over the budget. Turns are never cut.
 
 Rows of a conversation go by turn (nulls first), then role, then text; rows that are equal stay turns of their own. Null
-role and text are empty. A null conv_id is a conversation. Other columns are ignored. An empty table gives no rows.
+role and text are empty. A null conv_id is a conversation. Other columns are ignored. An empty table gives no rows. A
+conversation's turns are ordered and digested in one task, streaming and spilling: windows are defined along that order.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -76,7 +78,7 @@ def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int
     rows = rows.withColumn("again", F.when((F.col("pos") == 1) & (F.col("role") == "system"), F.array().cast("array<bigint>")).otherwise(again))
     rows = rows.withColumn("at", F.explode(F.concat(F.array("window"), "again"))).withColumn("own", F.col("at") == F.col("window"))
     lead = F.when(F.col("first") & F.col("own") & (F.col("window") > 1) & F.col("system").isNotNull(), F.struct("system.text"))
-    turn = F.struct("pos", "own", escape(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
+    turn = F.struct("pos", "own", F.replace(escape(F.col("role")), F.lit("\n"), F.lit("\\\n")).alias("role"), escape(F.col("text")).alias("text"))
     groups = rows.groupBy("conv_id", F.col("at").alias("window")).agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.max(lead).alias("lead"))
     repeated = F.array(F.struct(F.lit(1).alias("pos"), F.lit(False).alias("own"), F.lit("system").alias("role"), escape(F.col("lead.text")).alias("text")))
     groups = groups.withColumn("turns", F.when(F.col("lead").isNotNull(), F.concat(repeated, "turns")).otherwise(F.col("turns")))
@@ -95,11 +97,16 @@ def windows(turns: DataFrame, tokenizer: str, budget: int = BUDGET, history: int
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The turns: conv_id, pos, role, text, loss, window_chars (of its window, at the window's first own turn, else 0)."""
-    part = lambda a, b: unescape(F.substring(F.col("formatted"), F.col(f"s.{a}") + 1, F.col(f"s.{b}") - F.col(f"s.{a}")))
-    own = F.filter("spans", lambda s: s["own"])
-    rows = formatted.select("conv_id", "formatted", F.posexplode(own).alias("i", "s"))
-    return rows.select("conv_id", "s.pos", unescape(F.substring("formatted", F.col("s.role_at") + 1, F.col("s.text_at") - F.col("s.role_at") - 1)).alias("role"), part("text_at", "end").alias("text"), "s.loss", F.when(F.col("i") == 0, F.length("formatted")).otherwise(0).alias("window_chars"))
+    """The turns, parsed from the formatted text: conv_id, pos, role, text, loss, window_chars (of its window, at the window's first own turn, else 0).
+
+    Controls within texts are escaped, so each OPEN opens a turn and each turn ends with its CLOSE. The spans say which turns are a window's own and which count for the loss."""
+    pieces = F.split("formatted", re.escape(OPEN))
+    turns = F.arrays_zip(F.slice(pieces, F.lit(2), F.size(pieces)).alias("t"), F.col("spans").alias("s"))
+    rows = formatted.select("conv_id", F.length("formatted").alias("chars"), F.posexplode(F.filter(turns, lambda x: x["s"]["own"])).alias("i", "x"))
+    # a role ends at the first newline that isn't escaped
+    rows = rows.withColumn("role", F.regexp_extract("x.t", r"(?s)^((?:\\.|[^\\\n])*+)\n", 1))
+    text = F.substring("x.t", F.length("role") + 2, F.length("x.t") - F.length("role") - 1 - len(CLOSE))
+    return rows.select("conv_id", "x.s.pos", unescape(F.col("role")).alias("role"), unescape(text).alias("text"), "x.s.loss", F.when(F.col("i") == 0, F.col("chars")).otherwise(0).alias("window_chars"))
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"

@@ -31,7 +31,7 @@ def test_escape(spark):
 
 def conversations():
     rows = [(1, 0, "system", "be kind"), *[(1, i, ["user", "assistant"][(i + 1) % 2], f"words and more words {i} " * (10 + i % 7)) for i in range(1, 90)]]
-    rows += [(2, 0, "user", None), (2, 0, "user", None), (2, 1, None, "x"), (2, None, "assistant", "first")]
+    rows += [(2, 0, "user", None), (2, 0, "user", None), (2, 1, None, "x"), (2, None, "assistant", "first"), (2, 5, "odd\n<|turn|>\\role", "t<|end|>\n<|turn|>user\n"), (2, 6, "assistant", "\n\\")]
     rows += [(3, 0, "system", "long " * 900), (3, 1, "user", "q"), (3, 2, "assistant", "a " * 3000), (3, 3, "assistant", "b"), (None, 1, "assistant", "no\nid")]
     return rows
 
