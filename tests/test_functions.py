@@ -211,3 +211,24 @@ def test_numbers_of_wide_rows_have_no_gaps(spark, partitions):
         assert (total[0], total[2]) == (sum(range(120_000)), 120_000) and total[1] >= 119_999  # id 0 adds nothing
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def soundex(word):
+    code = {c: str(n) for n, cs in enumerate(("BFPV", "CGJKQSXZ", "DT", "L", "MN", "R"), 1) for c in cs}
+    out, last = word[0], code.get(word[0])
+    for c in word[1:]:
+        if code.get(c) and code[c] != last:
+            out += code[c]
+        last = code.get(c)
+    return (out + "000")[:4]
+
+
+def test_digests_and_sounds_against_plain_python(spark):
+    import hashlib
+    import zlib
+
+    rows = [r.asDict() for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_name", "c_mktsegment").select(
+        "*", call("crc32", F.col("c_name")).alias("crc"), call("sha512", F.col("c_name")).alias("sha"), call("soundex", F.col("c_mktsegment")).alias("sound")).collect()]
+    assert rows
+    for r in rows:
+        assert r["crc"] == f"{zlib.crc32(r['c_name'].encode()):08x}" and r["sha"] == hashlib.sha512(r["c_name"].encode()).hexdigest() and r["sound"] == soundex(r["c_mktsegment"])
