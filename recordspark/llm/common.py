@@ -43,8 +43,7 @@ class Steps:
 
     def write(self, label: str, df: DataFrame) -> DataFrame:
         """df, written as Parquet and read back: cuts lineage and outlives executors."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # shuffle files of earlier steps go once nothing refers to them
+        self._collect_garbage()
         self.paths[label] = path = new_path(self.spark, label)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -52,6 +51,12 @@ class Steps:
     def drop(self, *labels: str) -> None:
         for label in labels:
             remove(self.spark, self.paths.pop(label))
+        self._collect_garbage()
+
+    def _collect_garbage(self) -> None:
+        """Shuffle files of earlier steps go once nothing refers to them."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -8,8 +8,9 @@ that they cover are its stretch.
 1. Documents are gathered in chunks of CHUNK bytes (one document, if it is longer), with which all goes on.
 2. Chunks send the distinct hashes of their anchors, five bytes each, to parts of the range of hashes, and learn which of
    them another document may have too. (A hash's head may be another one's: such a place is just looked at.)
-3. The places of these anchors meet by anchor, and are told apart by hashes of their stretches. A document has few places
-   of one anchor, so none has more than a small share of the rows. Equal stretches are one, with the least doc_id.
+3. The places of these anchors meet by anchor, a row for each stretch and chunk, and are told apart by hashes of their
+   stretches. Equal stretches are one, with the least doc_id; so a passage that very many documents have is a row a chunk.
+   An anchor at a passage's edge has a stretch for each surroundings: its rows are sorted in one task, which may spill.
 4. An anchor with a single stretch is settled: each of its windows has the stretch's least doc_id. The stretches of
    other anchors come to shards, once each. A shard gets a suffix array by induced sorting and the permuted common
    prefixes (suffix_arrays.py); neighbours in it that share `least` bytes are equal windows, and the least doc_id among
@@ -106,7 +107,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     """CHUNKS: doc_ids and known (1, or 0 for null) of the documents, where their texts end, and the texts, compressed."""
 
     def run(batches):
-        pack, number = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 32
+        pack, number = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 32
         for batch in sliced(batches, "text", CHUNK):
             texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
             ids = batch.column("doc_id")
@@ -129,12 +130,12 @@ class Chunk:
         self.text = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]) if self.ends[-1] else b"", np.uint8)
 
     def places(self, least: int):
-        """Hash, first window, number of windows and doc_id of each place of the documents that have a doc_id, sorted by hash."""
+        """Hash, first window, number of windows and document (its place in the chunk) of each place of the documents that have a doc_id, sorted by hash."""
         h, at, n = anchors(self.text, self.ends, least)
         owner = np.searchsorted(self.ends, at, "right")
         order = np.argsort(h, kind="stable")
         order = order[self.known[owner[order]] == 1]
-        return h[order], at[order], n[order], self.docs[owner[order]]
+        return h[order], at[order], n[order], owner[order]
 
 
 def _heads(h: np.ndarray) -> np.ndarray:
@@ -157,10 +158,10 @@ def asked(parts: DataFrame, log_parts: int, least: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 own = Chunk(row)
-                h, _, _, doc = own.places(least)
+                h, _, _, owner = own.places(least)
                 if not len(h):
                     continue
-                part, value, _ = _sent(h, doc, log_parts)
+                part, value, _ = _sent(h, own.docs[owner], log_parts)
                 raw = value.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
                 heads = _heads(part)
                 cuts = (np.append(heads, len(part)) * 5).tolist()
@@ -202,43 +203,55 @@ def answered(questions: DataFrame) -> DataFrame:
     return questions.repartition("part").sortWithinPartitions("part").mapInArrow(run, "part int, chunk long, bits binary")
 
 
-PLACES = "h long, k long, chunk long, at int, n int, doc long"
+PLACES = "h long, k long, chunk long, n int, at int, lo long, hi long, places binary"
 
 
 def shared_places(parts: DataFrame, answers: DataFrame, log_parts: int, least: int) -> DataFrame:
-    """PLACES of anchors that are shared; k is the stretch's hash."""
+    """PLACES: a row for each stretch (k is its hash) of a chunk whose anchor is shared: how many windows, where one lies,
+    least and greatest doc_id, and all its places there (32-bit: first window, document)."""
 
     def run(chunk: pa.Table, bits: pa.Table) -> pa.Table:
-        names, kinds = [x.split()[0] for x in PLACES.split(", ")], [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()]
+        names, kinds = [x.split()[0] for x in PLACES.split(", ")], [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.binary()]
+        nothing = pa.table([pa.array([], k) for k in kinds], names)
         if not chunk.num_rows or not bits.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names)
+            return nothing
         own = Chunk(chunk.to_pylist()[0])
-        h, at, n, doc = own.places(least)
-        part, value, place = _sent(h, doc, log_parts)
+        h, at, n, owner = own.places(least)
+        part, value, place = _sent(h, own.docs[owner], log_parts)
         shared = np.zeros(len(value), bool)
         for p, b in zip(bits.column("part").to_pylist(), bits.column("bits").to_pylist(), strict=True):
             i, j = np.searchsorted(part, [p, p + 1])
             shared[i:j] = np.unpackbits(np.frombuffer(b, np.uint8), count=j - i).astype(bool)
         some = shared[place]
-        h, at, n, doc = h[some], at[some], n[some], doc[some]
-        cols = [h.view(np.int64), stretch_keys(own.text, at, n, least).view(np.int64), np.full(len(h), own.number), at, n, doc]
-        return pa.table([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names)
+        if not some.any():
+            return nothing
+        h, at, n, owner = h[some], at[some], n[some], owner[some]
+        k = stretch_keys(own.text, at, n, least)
+        order = np.lexsort((k, h))
+        h, k, at, n, owner = (x[order] for x in (h, k, at, n, owner))
+        heads = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (k[1:] != k[:-1])]))
+        doc = own.docs[owner]
+        packed = np.stack([at, owner], 1).astype("<i4")
+        offsets = pa.py_buffer((np.append(heads, len(h)) * 8).astype(np.int32))
+        places = pa.Array.from_buffers(pa.binary(), len(heads), [None, offsets, pa.py_buffer(packed)])
+        cols = [h[heads].view(np.int64), k[heads].view(np.int64), np.full(len(heads), own.number), n[heads], at[heads], np.minimum.reduceat(doc, heads), np.maximum.reduceat(doc, heads)]
+        return pa.table([*(pa.array(x, kind) for x, kind in zip(cols, kinds, strict=False)), places], names)
 
     return parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, PLACES)
 
 
 def compared(places: DataFrame) -> DataFrame:
-    """Places that may lose something or are needed to tell: chunk, at, n, doc, lo (the least doc_id with that stretch),
-    several (has the anchor other stretches?), and only then h and k. One shuffle and one sort."""
+    """Those of PLACES that may lose something or are needed to tell, with lo as the least doc_id anywhere and several
+    (has the anchor other stretches?); h, k, at and hi only where it has. One shuffle and one sort."""
     same, anchor = Window.partitionBy("h", "k"), Window.partitionBy("h")
-    rows = places.repartition("h").withColumn("lo", F.min("doc").over(same)).withColumn("several", F.min("k").over(anchor) < F.max("k").over(anchor))
-    rows = rows.where("several or lo < doc")
-    return rows.select("chunk", "at", "n", "doc", "lo", "several", *(F.when(F.col("several"), F.col(c)).alias(c) for c in ("h", "k")))
+    rows = places.repartition("h").withColumn("lo", F.min("lo").over(same)).withColumn("several", F.min("k").over(anchor) < F.max("k").over(anchor))
+    rows = rows.where("several or lo < hi")
+    return rows.select("chunk", "n", "lo", "places", "several", *(F.when(F.col("several"), F.col(c)).alias(c) for c in ("h", "k", "at", "hi")))
 
 
 def stretches(contested: DataFrame) -> DataFrame:
     """h, k, lo, hi (least and greatest doc_id), chunk, at, n (of one place) of each stretch."""
-    return contested.groupBy("h", "k").agg(F.min("lo").alias("lo"), F.max("doc").alias("hi"), F.min("chunk").alias("chunk"), F.min_by("at", "chunk").alias("at"), F.min("n").alias("n"))
+    return contested.groupBy("h", "k").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("chunk").alias("chunk"), F.min_by("at", "chunk").alias("at"), F.min("n").alias("n"))
 
 
 def contents(parts: DataFrame, wanted: DataFrame, least: int) -> DataFrame:
@@ -327,19 +340,30 @@ def least_documents(rows: DataFrame, least: int, shard_bytes: int, shard_stretch
 KEPT = "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long"
 
 
-def covered(marks: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """First window and number of windows of runs that smaller documents have. marks: at, n, doc, lo or minima."""
-    at, n, doc = (marks.column(c).to_numpy().astype(np.int64) for c in ("at", "n", "doc"))
-    minima = marks.column("minima").combine_chunks()
-    plain = minima.is_null().to_numpy(zero_copy_only=False)
-    own = [x for x in minima.to_pylist() if x is not None]
-    runs = np.frombuffer(b"".join(own), RUNS)
-    sizes = np.array([len(x) // RUNS.itemsize for x in own], np.int64)
-    # where each run lies in its place
-    total = np.cumsum(runs["n"].astype(np.int64)) - runs["n"]
-    first = np.repeat(at[~plain] - total[np.cumsum(sizes) - sizes] if len(own) else at[:0], sizes) + total
-    gone = runs["low"] < np.repeat(doc[~plain], sizes)
-    return np.concatenate([at[plain], first[gone]]), np.concatenate([n[plain], runs["n"][gone].astype(np.int64)])
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For things that come so many times each: which thing, and the how manieth time."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def covered(marks: pa.Table, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of runs that smaller documents have. marks: n, lo, places, minima; docs: doc_ids of the chunk."""
+    n, lo = (marks.column(c).to_numpy().astype(np.int64) for c in ("n", "lo"))
+    places, minima = (marks.column(c).to_pylist() for c in ("places", "minima"))
+    # a settled stretch is one run
+    runs = np.frombuffer(b"".join(b"\0" * RUNS.itemsize if x is None else x for x in minima), RUNS).copy()
+    counts = np.array([1 if x is None else len(x) // RUNS.itemsize for x in minima], np.int64)
+    starts = np.cumsum(counts) - counts
+    settled = np.array([x is None for x in minima])
+    runs["n"][starts[settled]], runs["low"][starts[settled]] = n[settled], lo[settled]
+    before = np.cumsum(runs["n"].astype(np.int64)) - runs["n"]
+    before -= np.repeat(before[starts], counts)
+    row, _ = _spread(np.array([len(x) // 8 for x in places], np.int64))
+    at, owner = np.frombuffer(b"".join(places), "<i4").reshape(-1, 2).astype(np.int64).T
+    place, i = _spread(counts[row])
+    run = starts[row[place]] + i
+    gone = runs["low"][run] < docs[owner[place]]
+    return (at[place] + before[run])[gone], runs["n"][run][gone].astype(np.int64)
 
 
 def cut(chunk: Chunk, marks: pa.Table, least: int) -> pa.Table:
@@ -348,7 +372,7 @@ def cut(chunk: Chunk, marks: pa.Table, least: int) -> pa.Table:
     starts = np.concatenate([[0], ends[:-1]])
     gone = np.zeros(len(text), bool)
     if marks.num_rows:
-        at, n = covered(marks)
+        at, n = covered(marks, chunk.docs)
         steps = np.bincount(at, minlength=len(text) + 1) - np.bincount(at + (n - 1 + least), minlength=len(text) + 1)
         gone = np.cumsum(steps)[: len(text)] > 0
     opens = gone.copy()
@@ -376,8 +400,8 @@ def without_repeats(docs: DataFrame, least: int = LEAST, shard_bytes: int = SHAR
     texts = steps.write("contents", contents(parts, stretches(contested), least))
     low = steps.write("least-documents", least_documents(texts, least, shard_bytes, shard_stretches, steps))
     steps.drop("contents")
-    settled = judged.where("not several").select("chunk", "at", "n", "doc", F.lit(None).cast("binary").alias("minima"))
-    marks = settled.unionByName(contested.join(low, ["h", "k"]).select("chunk", "at", "n", "doc", "minima"))
+    settled = judged.where("not several").select("chunk", "n", "lo", "places", F.lit(None).cast("binary").alias("minima"))
+    marks = settled.unionByName(contested.join(low, ["h", "k"]).select("chunk", "n", "lo", "places", "minima"))
 
     def run(chunk: pa.Table, own: pa.Table) -> pa.Table:
         return pa.concat_tables([cut(Chunk(row), own, least) for row in chunk.to_pylist()])
