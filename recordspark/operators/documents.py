@@ -99,3 +99,49 @@ def patch_errors(old: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """key, path, message of changes that patch() can't do as they are: what they remove, change or move isn't there."""
     needed = changes.where("op <> 'added'").select(key, F.when(F.col("op") == "moved", F.col("from_path")).otherwise(F.col("path")).alias("path"))
     return needed.join(old.select(key, "path"), [key, "path"], "left_anti").withColumn("message", F.lit("no such path"))
+
+
+#: The last step of a path: a name after a dot, or a place in brackets.
+LAST = r"(?:\.[^.\[\]]+|\[\d*\])$"
+
+
+def parent(path: Column) -> Column:
+    """a.b[2] -> a.b -> a -> empty"""
+    return F.when(path.rlike(LAST), F.regexp_replace(path, LAST, "")).otherwise(F.lit(""))
+
+
+def leaf(path: Column) -> Column:
+    """The last step, without its dot."""
+    return F.regexp_replace(F.coalesce(F.nullif(F.regexp_extract(path, LAST, 0), F.lit("")), path), r"^\.", "")
+
+
+def steps(path: Column) -> Column:
+    """The steps of a path: names, and places in brackets."""
+    return F.regexp_extract_all(path, F.lit(r"\[\d*\]|[^.\[\]]+"), F.lit(0))
+
+
+def under(path: Column, prefix: str) -> Column:
+    """Is it the prefix, or within it?"""
+    return (path == prefix) | path.startswith(prefix + ".") | path.startswith(prefix + "[")
+
+
+def joined_path(*parts: Column) -> Column:
+    """Steps put together; places in brackets have no dot before them."""
+    return F.regexp_replace(F.concat_ws(".", *parts), r"\.\[", "[")
+
+
+class Builder:
+    """Collects the assignments of one document: Builder().set("a.b", 1).set("a.c", "x", "confidential").frame(spark)."""
+
+    def __init__(self):
+        self.rows: dict[str, tuple] = {}
+
+    def set(self, path: str, value, *modifiers: str) -> Builder:
+        """The last value of a path stays."""
+        kind = {bool: "boolean", int: "integer", float: "number", type(None): "null"}.get(type(value), "string")
+        shown = None if value is None else str(value).lower() if isinstance(value, bool) else str(value)
+        self.rows[path] = (path, kind, shown, list(modifiers))
+        return self
+
+    def frame(self, spark) -> DataFrame:
+        return spark.createDataFrame(list(self.rows.values()), "path string, type string, value string, modifiers array<string>")

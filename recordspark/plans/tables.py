@@ -255,3 +255,24 @@ def stream_windows(spark, sf_dir):
     q.awaitTermination()
     last = spark.read.parquet(f"{at}/out").groupBy("user_id").agg(F.max(F.struct("batch", "n", "total")).alias("x"))
     return last.select("user_id", "x.n", F.col("x.total").cast("long").alias("total"))
+
+
+@query("native_stream", SUPPLIERS)
+def native_stream(spark, sf_dir):
+    """Documents as a stream of texts, parsed batch by batch."""
+    at = place(spark)
+    formats.write(suppliers(spark, sf_dir), f"{at}/in", "native")
+    formats.stream_native(spark, f"{at}/in", lambda rows, number: rows.write.mode("append").parquet(f"{at}/out"), f"{at}/state").awaitTermination()
+    rows = spark.read.parquet(f"{at}/out")
+    return rows.groupBy("document").agg(*[F.max(F.when(F.col("path") == c, F.col("value"))).cast(k).alias(c) for c, k in (x.split() for x in SUPPLIER.split(", "))]).drop("document")
+
+
+@query("paths", """
+select o_orderkey as k, 'a.' || o_orderstatus || '[' || o_orderkey % 3 || ']' as parent, 'x' as leaf, '[' || o_orderkey % 3 || ']' as inner_leaf, 'a|' || o_orderstatus || '|[' || o_orderkey % 3 || ']|x' as steps, o_orderstatus = 'O' as within_, 'a.' || o_orderstatus || '[' || o_orderkey % 3 || '].x' as built, '' as top from orders""")
+def paths(spark, sf_dir):
+    status, place_ = F.col("o_orderstatus"), F.concat(F.lit("["), (F.col("o_orderkey") % 3).cast("string"), F.lit("]"))
+    path = F.concat(F.lit("a."), status, place_, F.lit(".x"))
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("k"), documents.parent(path).alias("parent"), documents.leaf(path).alias("leaf"), documents.leaf(documents.parent(path)).alias("inner_leaf"), F.array_join(documents.steps(path), "|").alias("steps"), documents.under(path, "a.O").alias("within_"),
+        documents.joined_path(F.lit("a"), status, place_, F.lit("x")).alias("built"), documents.parent(F.lit("a")).alias("top"),
+    )

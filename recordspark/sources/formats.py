@@ -178,6 +178,18 @@ def read_native(spark: SparkSession, path: str) -> DataFrame:
     return native_documents(texts.withColumn("document", F.concat_ws("#", F.input_file_name(), F.xxhash64("value").cast("string"))), ["document"], "value")
 
 
+def stream_native(spark: SparkSession, path: str, handle, checkpoint: str):
+    """A streaming query over documents of the typed key-path format that arrive in path: handle(assignments, number) gets
+    each batch's, as read_native() gives them. It ends when all that is there is read."""
+
+    def each(batch: DataFrame, number: int) -> None:
+        keyed = batch.withColumn("document", F.xxhash64("value").cast("string"))
+        handle(native_documents(keyed, ["document"], "value"), number)
+
+    texts = spark.readStream.option("lineSep", "\n---\n").text(path).where("trim(value) <> ''")
+    return texts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def native_text(df: DataFrame) -> Column:
     """A row as a document of the typed key-path format."""
     kinds = {T.LongType: "##", T.IntegerType: "##", T.ShortType: "##", T.DoubleType: "#", T.FloatType: "#", T.BooleanType: "", T.DateType: "", T.TimestampType: ""}

@@ -232,3 +232,8 @@ def test_digests_and_sounds_against_plain_python(spark):
     assert rows
     for r in rows:
         assert r["crc"] == f"{zlib.crc32(r['c_name'].encode()):08x}" and r["sha"] == hashlib.sha512(r["c_name"].encode()).hexdigest() and r["sound"] == soundex(r["c_mktsegment"])
+
+
+def test_builder(spark):
+    rows = documents.Builder().set("a.b", 1).set("a.c", "x", "confidential").set("a.b", True).set("n", None).frame(spark)
+    assert {tuple(r)[:3] for r in rows.collect()} == {("a.b", "boolean", "true"), ("a.c", "string", "x"), ("n", "null", None)}
