@@ -39,7 +39,7 @@ def test_query_against_brute_force_and_held_out_likelihood(spark, small):
 
 def test_scores_do_not_depend_on_partitions(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
-    one, many = ({r.doc_id: r.score for r in lm.scored(docs.repartition(n)).collect()} for n in (1, 7))
+    one, many = ({r.doc_id: r.score for r in lm.scored(docs.repartition(n), rounds=2).collect()} for n in (1, 7))
     assert one.keys() == many.keys()
     for k, v in one.items():
         assert math.isclose(v, many[k], rel_tol=1e-4)
@@ -112,12 +112,12 @@ def test_scores_against_loops(spark):
 
 def test_words_beyond_the_table_are_looked_up(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    few, many = (lm.scored(odd_docs, most_known=k).collect() for k in (2, 1000))
+    few, many = (lm.scored(odd_docs, rounds=1, most_known=k).collect() for k in (2, 1000))
     same(few, rows)
     same(many, rows)
     for a, b in zip(sorted(few, key=str), sorted(many, key=str), strict=True):
         assert math.isclose(a.score, b.score, rel_tol=1e-6)
-    assert lm.scored(no_docs).collect() == []
+    assert lm.scored(no_docs, rounds=1).collect() == []
 
 
 def coded(text):
