@@ -62,13 +62,18 @@ def text_words(spark, sf_dir):
     ))
 
 
-@query("text_codes")
+@query("text_codes", """
+with recursive t(n, k, c) as (select n, 0, n::bigint from range(256) r(n) union all select n, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from t where k < 8),
+w(key, s, i, c) as (select c_custkey, c_name, 0, 4294967295::bigint from customer union all select w.key, w.s, w.i + 1, xor(w.c >> 8, t.c) from w join t on t.k = 8 and t.n = xor(w.c & 255, ascii(w.s[w.i + 1])::bigint) where w.i < length(w.s))
+select c_custkey, case c_mktsegment when 'BUILDING' then 'B435' when 'MACHINERY' then 'M256' when 'AUTOMOBILE' then 'A351' when 'HOUSEHOLD' then 'H243' when 'FURNITURE' then 'F653' end as soundex, c_name[1:2] || '-' || c_name[3:4] || '-' || c_name[5] as masked,
+  '(555) ' || lpad(c_custkey::varchar, 7, '0')[1:3] || '-' || lpad(c_custkey::varchar, 7, '0')[4:] as phone, lower(lpad(to_hex(xor(c, 4294967295)), 8, '0')) as crc, c_mktsegment || 'eAn' as plain, lower(c_mktsegment) as camel,
+  repeat('*', (14 - length(c_mktsegment)) // 2) || c_mktsegment || repeat('*', 14 - length(c_mktsegment) - (14 - length(c_mktsegment)) // 2) as centred, true as id_form, true as drawn, replace(replace(replace(format('{:,.2f}', c_acctbal), ',', '_'), '.', ','), '_', '.') as number
+from customer join w on key = c_custkey and i = length(s)""")
 def text_codes(spark, sf_dir):
-    """What DuckDB has no function for."""
     n, s = F.col("c_name"), F.col("c_mktsegment")
     return table(spark, sf_dir, "customer").select(*shown(
         F.col("c_custkey"), soundex=v("soundex", s), masked=v("mask", n, "##-##-A"), phone=v("formatPhone", F.format_string("555%07d", "c_custkey"), "US"), crc=v("crc32", n), plain=v("stripAccents", F.concat(s, F.lit("éÅñ"))),
-        camel=v("camelCase", s), centred=v("center", s, 14, "*"), id=v("uuid", n), draw=v("random", n), number=v("formatLocaleNumber", F.col("c_acctbal"), "de-DE", 2),
+        camel=v("camelCase", s), centred=v("center", s, 14, "*"), id_form=v("matches", v("uuid", n), "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), drawn=v("between", v("random", n), 0, 1), number=v("formatLocaleNumber", F.col("c_acctbal"), "de-DE", 2),
     ))
 
 
