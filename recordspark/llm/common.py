@@ -82,6 +82,7 @@ def sliced(batches, column: str, most: int = 4_000_000):
             end = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()  # workers live on; what they don't need goes back
 
 
 def slice_arrays(column: pa.Array, most: int = 4_000_000):

@@ -24,7 +24,7 @@ class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned integers of `width` bytes."""
 
     #: Words kept at once; beyond that the cache starts anew.
-    LIMIT = 500_000
+    LIMIT = 300_000
     #: New words that go to the library in one text.
     TOGETHER = 1000
 
