@@ -53,7 +53,7 @@ class Encoder:
         if not self.cuts or ODD_BLANK.search(text) or "<|" in text:
             return None
         if self.word_ends:
-            return (text if WIDE.search(text) else text.lower()).split()
+            return (text.lower() if text.isascii() or not WIDE.search(text) else text).split()
         if any(x in text for x in RUNS) or text[:1] in ("", "\n") or text[-1:] == "\n":
             return None
         first, *lines = text.split("\n")
@@ -91,7 +91,7 @@ class Encoder:
         plain, closed, rest = {}, [], []
         for x in pieces:
             core = x.rstrip(".,")
-            if core.isalpha() and core.islower() and not WIDE.search(core):
+            if core.isalpha() and core.islower() and (core.isascii() or not WIDE.search(core)):
                 if core not in known:
                     plain[core] = None
                 if len(core) < len(x):
